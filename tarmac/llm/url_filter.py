@@ -52,7 +52,7 @@ def build_filter(keys: DataFrame, key_col: str = "key") -> np.ndarray:
     made = add_columns(hashed, ["h"], lambda c: [[row.tolist() for row in compute(c)[0]]], [T.StructField("bits", T.ArrayType(T.LongType()))], [])
     bit = made.select(F.explode("bits").alias("b")).distinct()
     # Bits of one byte are joined before they leave the executors: at most 64 x MAX_BLOCKS rows.
-    rows = bit.groupBy((F.col("b") / 8).cast("long").alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("b") % 8).cast("int"))).alias("v")).toPandas()
+    rows = bit.groupBy((F.col("b") / 8).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 as int))")).alias("v")).toPandas()
     out = np.zeros(blocks * 64, np.uint8)
     out[rows["byte"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint8)
     return out.reshape(blocks, 64)
