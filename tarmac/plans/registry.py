@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+from tarmac.plans import scoring_queries
+
+FLAGSHIP = "attribute_metrics"
+
+_MODULES = (scoring_queries,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query, as a function of a session and the folder of the tables."""
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of every query that SQL can express."""
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
