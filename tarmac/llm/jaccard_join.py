@@ -21,6 +21,9 @@ ENUMERATED = 64
 #: Parts of a large band, by its upper size limit.
 PARTS = 0.6
 
+#: 64-bit words of the parities by which pairs are ruled out before their sets are compared.
+WORDS = 8
+
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every row; with fewer words, the whole sequence as one; empty without words."""
@@ -32,6 +35,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return out
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """Parities of a set's features in ``64 * WORDS`` cells, as integers: two sets differ in at least as many features as in parities."""
+    cells = np.bincount((mix(x ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_id(x: np.ndarray) -> int:
     """A 64-bit name of a set: equal sets have equal names."""
     total = int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -147,10 +156,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.join(reps, (F.col("tk") == F.col("rtk")) & F.col("id").eqNullSafe(F.col("rid"))).select("node", "n", "text")
 
     def compute(column):
-        return [[x.view(np.int64) for x in shingle_sets(*utf8_of(column))]]
+        sets = shingle_sets(*utf8_of(column))
+        return [[x.view(np.int64) for x in sets], [parities(x) for x in sets]]
 
-    sets = add_columns(texts, ["text"], compute, [T.StructField("fs", T.ArrayType(T.LongType(), False))], ["node", "n"])
-    sets = written(sets.select("row.node", "row.n", "fs").dropDuplicates(["node"]))
+    longs = T.ArrayType(T.LongType(), False)
+    sets = add_columns(texts, ["text"], compute, [T.StructField("fs", longs), T.StructField("bits", longs)], ["node", "n"])
+    sets = written(sets.select("row.node", "row.n", "fs", "bits").dropDuplicates(["node"]))
     groups = written(_prefix_groups(sets))
     labels = written(groups.select("node").distinct().select("node", F.col("node").alias("label")))
     tested, centres = 0, 2
@@ -167,28 +178,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _prefix_groups(sets: DataFrame) -> DataFrame:
-    """(f, node, n, place): sets by the shingles of their prefix, rarest first; place numbers the sets of a shingle.
+    """(f, node, n, after, place): sets by the shingles of their prefix, rarest first; place numbers the sets of a shingle.
 
-    Of a set of n, shingles of no other set come first, and n - ceil(0.75 n) + 1 are taken in all.
+    Of a set of n, shingles of no other set come first, and n - ceil(0.75 n) + 1 are taken in all; ``after`` counts the
+    set's shingles after this one.
     """
     rows = sets.select("node", "n", F.explode("fs").alias("f"))
     common = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = rows.join(common, "f")
     own = Window.partitionBy("node")
     ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "f"))).withColumn("common", F.count(F.lit(1)).over(own))
-    prefix = ranked.where(F.expr("r <= n - ceil(0.75 * n) + 1 - (n - common)")).select("f", "node", "n")
+    prefix = ranked.where(F.expr("r <= n - ceil(0.75 * n) + 1 - (n - common)")).select("f", "node", "n", (F.col("common") - F.col("r")).alias("after"))
     return prefix.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy("node")))
 
 
 def _compare(groups: DataFrame, labels: DataFrame, sets: DataFrame, tested: int, centres: int) -> tuple[DataFrame, bool]:
-    """Links between centres (places tested + 1 to centres) and later members of their groups, and whether groups have more members."""
+    """Links between centres (places tested + 1 to centres) and later members of their groups, and whether groups have more members.
+
+    Before sets are compared, pairs are ruled out that can't link: by size, by the shingles that are left after the
+    common one (a pair that links meets the bound at the first shingle it shares), and by their parities.
+    """
     labelled = groups.join(labels, "node")
     bounds = labelled.groupBy("f").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > tested + 1))
-    live = labelled.join(bounds.select("f", "size"), "f")
-    a = live.where((F.col("place") > tested) & (F.col("place") <= centres)).select("f", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"))
-    b = live.select("f", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("place").alias("pb"))
-    fits = (F.col("pb") > F.col("pa")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    pairs = a.join(b, "f").where(fits).select("a", "na", "b", "nb").distinct()
+    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)]
+    live = labelled.join(bounds.select("f"), "f").join(sets.select("node", *words), "node")
+
+    def side(df, name):
+        return df.select("f", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "label", "place", "after", *[f"w{i}" for i in range(WORDS)])])
+
+    n = F.col("n_a") + F.col("n_b")
+    unequal = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(WORDS)), F.lit(0))
+    fits = (
+        (F.col("place_b") > F.col("place_a"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+        & (7 * (1 + F.least("after_a", "after_b")) >= 3 * n)
+        & (7 * unequal <= n)
+    )
+    centre = live.where((F.col("place") > tested) & (F.col("place") <= centres))
+    met = side(centre, "a").withColumnRenamed("f", "fa").join(side(live, "b"), (F.col("fa") == F.col("f")) & fits)
+    pairs = met.select(F.col("node_a").alias("a"), F.col("n_a").alias("na"), F.col("node_b").alias("b"), F.col("n_b").alias("nb")).distinct()
     full = pairs.join(sets.select(F.col("node").alias("b"), F.col("fs").alias("fb")), "b").join(sets.select(F.col("node").alias("a"), F.col("fs").alias("fa")), "a")
     same = full.withColumn("common", F.size(F.array_intersect("fa", "fb")))
     links = same.where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
