@@ -79,11 +79,13 @@ def tokens(page: str) -> list[Token]:
     def context() -> str:
         link = False
         main = False
-        for name, part, _ in reversed(stack):
+        for i in range(len(stack) - 1, -1, -1):
+            name, part, _ = stack[i]
             link |= name == "a"
-            if part in ("boiler", "comments"):
-                # An article inside a badly closed part is still the article; comments hold no article.
-                return part if not main or part == "comments" else "main_link" if link else "main"
+            if part == "comments" or part == "boiler" and not main:
+                return part + "_in_main" if any(p == "main" for _, p, _ in stack[:i]) else part
+            if part == "boiler":  # an article inside a badly closed part is still the article
+                break
             main |= part == "main"
         return ("main" if main else "plain") + ("_link" if link else "")
 
@@ -158,6 +160,8 @@ def learn(pages: list[str] = LABELLED) -> dict[str, float]:
 
 def _default(kind: str) -> float:
     """The score of a kind that no labelled page has."""
+    if "_in_main" in kind:
+        return 0.0 if kind.startswith("word:") else -0.01  # such parts are left out of the text, and don't end the region
     if kind.startswith("tag:"):
         return -0.05 if ":main" in kind else -1.0
     return 2.0 if kind == "word:main" else 1.0 if kind in ("word:plain", "word:main_link") else -1.0
@@ -178,7 +182,7 @@ def extract(page: str, weights: dict[str, float] | None = None) -> str:
     for i, t in enumerate(parsed):
         if t.kind.startswith("word:"):
             score = t.words * weights.get(t.kind, _default(t.kind))
-            if has_main and t.words and not t.kind.startswith("word:main"):
+            if has_main and t.words and not t.kind.startswith("word:main") and not t.kind.endswith("_in_main"):
                 score = -abs(score) - t.words  # words beside a marked article
         else:
             score = weights.get(t.kind, _default(t.kind))
