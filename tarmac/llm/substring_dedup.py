@@ -60,9 +60,11 @@ def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words:
     enough = b - a >= min_words
     at, a, b = at[enough], a[enough], b[enough]
     # Polynomial hash of the words a..b-1 from prefix sums, made independent of the place by the inverse power.
-    power = np.cumprod(np.concatenate(([1], np.full(len(hashes), _MULT, np.uint64))).astype(np.uint64), dtype=np.uint64)
-    back = np.cumprod(np.concatenate(([1], np.full(len(hashes), _INVERSE, np.uint64))).astype(np.uint64), dtype=np.uint64)
-    sums = np.concatenate(([0], np.cumsum(hashes * power[:-1], dtype=np.uint64))).astype(np.uint64)
+    power, back = (np.full(len(hashes) + 1, x, np.uint64) for x in (_MULT, _INVERSE))
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[:-1], dtype=np.uint64, out=sums[1:])
     spans = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
     return spans.view(np.int64), at - bounds[row[at]], row[at]
 
