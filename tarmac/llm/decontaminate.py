@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -54,7 +55,7 @@ def _automaton(pairs: list[tuple[str, str | None]]):
     return machine, list(items.values())
 
 
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
 def _machine(shared):
@@ -109,12 +110,13 @@ def decontaminate(
     pairs = benchmark_windows(benchmark, item_id, item_text, size)
     total = pairs.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 8)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
+    call = uuid.uuid4().hex  # workers outlive a call, and keep automata by name
     current, inputs = docs, [text_col]
     keep_all = list(dict.fromkeys([*keep, text_col])) if blocks > 1 else list(keep)
     for block in range(blocks):
         # A block holds about block_bytes, so the driver and a worker never see more than that at once.
         mine = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast({"block": f"{id(pairs)}-{block}", "pairs": [tuple(r) for r in mine.collect()]})
+        shared = spark.sparkContext.broadcast({"block": f"{call}-{block}", "pairs": [tuple(r) for r in mine.collect()]})
 
         def compute(texts, found=None, seen=None, shared=shared):
             machine, items = _machine(shared)
