@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import _MULT, add_columns, mix, utf8_of, words_of
+from tarmac.llm.common import _MULT, add_columns, mix, utf8_of, words_of, written
 
-#: Sentences of one run, and the words that a run must have at least.
+#: Sentences and words that a run has at least: a run of very short sentences takes in more of them.
 RUN, MIN_WORDS = 3, 12
 #: A sentence of more words is cut where the words' own hashes say so, about every ``CUT`` words, alike wherever it stands.
 LONG, CUT = 24, 8
@@ -27,7 +27,8 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """Sentences of all rows: first word of each (and an end), row bounds among sentences, words' start bytes, hashes.
 
     A sentence ends with a word that ends in ``.``, ``!`` or ``?`` (before closing marks), at a line's end, and at the
-    end of its text; sentences of more than ``LONG`` words are cut after words picked by their hash.
+    end of its text; sentences of more than ``LONG`` words are cut after words picked by their hash, and every ``LONG``
+    words where there is none.
     """
     starts, ends, hashes, rows = words_of(data, offsets, lower=False)
     n = len(starts)
@@ -45,20 +46,26 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     long_word = np.repeat(sizes > LONG, sizes)
     pick = long_word & ((hashes >> np.uint64(17)) % np.uint64(CUT) == 0)
     first[1:] |= pick[:-1]
+    # One word repeated is picked always or never: what is still long is cut into equal pieces.
+    begin = np.flatnonzero(first)
+    first |= (np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))) % LONG == 0
     begin = np.append(np.flatnonzero(first), n)
     return begin, np.searchsorted(begin[:-1], rows), starts, hashes, rows
 
 
-def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every run of ``run`` sentences with enough words, its first sentence within the row, and the row."""
+def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the run that begins with each sentence, its first sentence and the one after it within the row, and the row.
+
+    A run is the shortest with ``run`` sentences and ``min_words`` words; where the text ends before that, there is none.
+    """
     begin, bounds, _, hashes, _ = sentences(data, offsets)
     count = len(begin) - 1
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.arange(max(0, count - run + 1))
-    at = at[row[at] == row[at + run - 1]]
-    a, b = begin[at], begin[at + run]
-    enough = b - a >= min_words
-    at, a, b = at[enough], a[enough], b[enough]
+    at = np.arange(count)
+    to = np.maximum(at + run, np.searchsorted(begin, begin[:-1] + min_words))
+    whole = to <= bounds[row + 1]
+    at, to, row = at[whole], to[whole], row[whole]
+    a, b = begin[at], begin[to]
     # Polynomial hash of the words a..b-1 from prefix sums, made independent of the place by the inverse power.
     power, back = (np.full(len(hashes) + 1, x, np.uint64) for x in (_MULT, _INVERSE))
     power[0] = back[0] = 1
@@ -66,7 +73,7 @@ def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words:
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * power[:-1], dtype=np.uint64, out=sums[1:])
     spans = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
-    return spans.view(np.int64), at - bounds[row[at]], row[at]
+    return spans.view(np.int64), at - bounds[row], to - bounds[row], row
 
 
 def _text_key(text):
@@ -74,20 +81,22 @@ def _text_key(text):
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc key, first sentence) of every run that is not the first of its kind, in the order of ids and places."""
+    """(doc key, first sentence, sentence after) of every run that is not the first of its kind, in the order of ids and places."""
 
     def compute(texts):
-        spans, place, row = run_spans(*utf8_of(texts), run, min_words)
+        *columns, row = run_spans(*utf8_of(texts), run, min_words)
         ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        return [[spans[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], [place[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]]
+        return [[values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] for values in columns]
 
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", _text_key(F.col("text")))
-    fields = [T.StructField("spans", T.ArrayType(T.LongType(), False)), T.StructField("places", T.ArrayType(T.LongType(), False))]
-    made = add_columns(keyed, ["text"], compute, fields, ["id", "tk"])
-    runs = made.select("row.id", "row.tk", F.explode(F.arrays_zip("spans", "places")).alias("s")).select(F.struct("id", "tk", F.col("s.places").cast("int").alias("place")).alias("at"), F.col("s.spans").alias("span"))
+    names = ["span", "place", "stop"]
+    made = add_columns(keyed, ["text"], compute, [T.StructField(c, T.ArrayType(T.LongType(), False)) for c in names], ["id", "tk"])
+    each = made.select("row.id", "row.tk", F.explode(F.arrays_zip(*names)).alias("s"))
+    runs = each.select(F.struct("id", "tk", F.col("s.place").cast("int").alias("place")).alias("at"), F.col("s.stop").cast("int").alias("stop"), F.col("s.span").alias("span"))
     # The counts are pre-aggregated where the runs are made, so a run that a third of all texts share costs one row a task.
-    firsts = runs.groupBy("span").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("first") < F.col("last"))
-    return runs.join(firsts, "span").where(F.col("at") > F.col("first")).select("at.id", "at.tk", "at.place")
+    firsts = runs.groupBy("span").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("first") < F.col("last")).select("span", "first")
+    # Written, so that both sides of the join are plain shuffles, whose large partitions Spark splits.
+    return runs.join(written(firsts), "span").where(F.col("at") > F.col("first")).select("at.id", "at.tk", "at.place", "stop")
 
 
 def remove_repeats(
@@ -100,7 +109,7 @@ def remove_repeats(
     as they are, byte by byte; null stays null; a text all of whose sentences are repeats becomes empty.
     """
     found = repeated_runs(docs, id_col, text_col, run, min_words)
-    by_doc = found.groupBy("id", "tk").agg(F.collect_set("place").alias("places"))
+    by_doc = found.groupBy("id", "tk").agg(F.collect_set(F.struct("place", "stop")).alias("places"))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", _text_key(F.col("text")))
     right = by_doc.select(F.col("id").alias("id2"), F.col("tk").alias("tk2"), "places")
     joined = left.join(right, (F.col("tk") == F.col("tk2")) & F.col("id").eqNullSafe(F.col("id2")), "left").select("kept", "text", "places")
@@ -114,7 +123,7 @@ def remove_repeats(
             n = int(bounds[i + 1] - bounds[i])
             gone = np.zeros(n, bool)
             for p in own or ():
-                gone[p : p + run] = True
+                gone[p["place"] : p["stop"]] = True
             if gone.any():
                 edges = np.append(starts[begin[bounds[i] : bounds[i + 1]]], offsets[i + 1])
                 edges[0] = offsets[i]

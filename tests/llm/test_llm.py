@@ -311,30 +311,44 @@ def test_repeated_passages_go(spark, odd, empty):
 
 
 def brute_removed(rows, run=3, least=12):
-    """Removed sentences by document, from the sentences' own words."""
+    """Removed sentences by document, from the sentences' own words: runs of ``run`` sentences, or more up to ``least`` words."""
     from tarmac.llm.substring_dedup import sentences
 
     first, own = {}, {}
+
+    def runs(s):
+        for i in range(len(s)):
+            words = []
+            for j in range(i, len(s)):
+                words += s[j]
+                if j - i + 1 >= run and len(words) >= least:
+                    yield i, j + 1, tuple(words)
+                    break
+
     for d, t in sorted(rows):
         raw = t.encode()
         begin, _, starts, _, _ = sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
         own[d] = [tuple(w[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        for i in range(len(own[d]) - run + 1):
-            span = tuple(x for s in own[d][i : i + run] for x in s)
-            if len(span) >= least:
-                first.setdefault(span, (d, i))
+        for i, _, span in runs(own[d]):
+            first.setdefault(span, (d, i))
     out = {}
     for d, s in own.items():
         gone = set()
-        for i in range(len(s) - run + 1):
-            span = tuple(x for y in s[i : i + run] for x in y)
-            if len(span) >= least and first[span] != (d, i):
-                gone |= set(range(i, i + run))
+        for i, j, span in runs(s):
+            if first[span] != (d, i):
+                gone |= set(range(i, j))
         out[d] = (len(s), len(gone))
     return out
 
 
+def test_short_sentences_make_longer_runs(spark):
+    passage = " ".join(f"{w}!!" for w in "a few words that each end with two marks stand here in a row and repeat".split())
+    data = [(1, f"First of all this one. {passage} It ends so."), (2, f"{passage} Another end."), (3, "no " * 90), (4, "no " * 100)]
+    got = {r["row"]["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "Another end." and got[4]["n_removed"] >= 3
+
+
 def test_removed_sentences_equal_brute_force(spark):
     got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in queries.op10_substrings(spark, SF).collect()}
     assert got == brute_removed(documents())
