@@ -54,6 +54,25 @@ def add_columns(
     return picked.mapInArrow(run, schema)
 
 
+def add_rows(df: DataFrame, input_: str, compute: Callable[..., tuple], fields: Sequence[T.StructField], keep: Sequence[str], batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Any number of rows for each row of ``df``: its ``keep`` columns, repeated, and ``fields`` computed from one column.
+
+    ``compute`` gets an Arrow array and returns, for each new row, the number of the old row, and one array per field.
+    No name of ``fields`` may be one of ``keep``.
+    """
+    schema = T.StructType([*[df.schema[c] for c in keep], *fields])
+    arrow = to_arrow_schema(T.StructType(list(fields)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, *made = compute(batch.column(len(keep)))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keep))], *[pa.array(v, f.type) for v, f in zip(made, arrow, strict=True)]], names=[f.name for f in schema])
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{input_}`").alias("in0")).mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the cluster's shared checkpoint folder; a local one is set only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,7 +114,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

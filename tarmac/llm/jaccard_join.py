@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import add_columns, mix, run_hashes, utf8_of, words_of, written
+from tarmac.llm.common import add_columns, add_rows, mix, run_hashes, utf8_of, words_of, written
 from tarmac.llm.components import connect
 
 #: Words of a shingle.
@@ -121,16 +121,20 @@ def _survivors(docs: DataFrame, text_col: str) -> DataFrame:
         nodes, sigs, least, seen = [], [], [], set()
         for x in shingle_sets(*utf8_of(texts)):
             node = set_id(x) if len(x) else None
-            own, needed = ([], None) if node is None or node in seen else signatures(x)  # copies within the batch give none
+            if node is None or node in seen:  # copies within the batch give none
+                continue
             seen.add(node)
-            nodes.append(node)
+            own, needed = signatures(x)
+            nodes.append(np.full(len(own), node, np.int64))
             sigs.append(own)
-            least.append(needed)
-        return [nodes, sigs, least]
-
-    fields = [T.StructField("node", T.LongType()), T.StructField("sigs", T.ArrayType(T.LongType(), False)), T.StructField("least", T.IntegerType())]
-    made = add_columns(docs.select(F.col(f"`{text_col}`").alias("text")), ["text"], compute, fields, [])
-    rows = made.select(F.explode("sigs").alias("sig"), "node", "least")
+            least.append(np.full(len(own), needed, np.int32))
+        if not nodes:
+            return [], [], [], []
+        made = np.concatenate(nodes)
+        return np.zeros(len(made), np.int64), np.concatenate(sigs), made, np.concatenate(least)
+
+    fields = [T.StructField("sig", T.LongType()), T.StructField("node", T.LongType()), T.StructField("least", T.IntegerType())]
+    rows = add_rows(docs.select(F.col(f"`{text_col}`").alias("text")), "text", compute, fields, [])
     same = Window.partitionBy("sig")
     live = rows.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo < hi")
     return live.select("node", "sig", "least").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least")).where("shared >= least").select("node")

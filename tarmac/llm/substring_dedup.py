@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import _MULT, add_columns, mix, utf8_of, words_of, written
+from tarmac.llm.common import _MULT, add_columns, add_rows, mix, utf8_of, words_of, written
 
 #: Sentences and words that a run has at least: a run of very short sentences takes in more of them.
 RUN, MIN_WORDS = 3, 12
@@ -53,8 +53,8 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, np.searchsorted(begin[:-1], rows), starts, hashes, rows
 
 
-def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the run that begins with each sentence, its first sentence and the one after it within the row, and the row.
+def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the run that begins with each sentence: row, hash, first sentence and the one after it in the row, and whether it is new there.
 
     A run is the shortest with ``run`` sentences and ``min_words`` words; where the text ends before that, there is none.
     """
@@ -73,7 +73,11 @@ def run_spans(data: np.ndarray, offsets: np.ndarray, run: int = RUN, min_words:
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * power[:-1], dtype=np.uint64, out=sums[1:])
     spans = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
-    return spans.view(np.int64), at - bounds[row], to - bounds[row], row
+    # A run is new unless it stands before in the same row.
+    order = np.lexsort((spans, row))
+    new = np.ones(len(spans), bool)
+    new[order[1:]] = (spans[order[1:]] != spans[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    return row, spans.view(np.int64), (at - bounds[row]).astype(np.int32), (to - bounds[row]).astype(np.int32), new
 
 
 def _text_key(text):
@@ -81,22 +85,17 @@ def _text_key(text):
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc key, first sentence, sentence after) of every run that is not the first of its kind, in the order of ids and places."""
-
-    def compute(texts):
-        *columns, row = run_spans(*utf8_of(texts), run, min_words)
-        ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        return [[values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] for values in columns]
-
+    """(id, tk, first sentence, sentence after) of every run that is not the first of its kind, in the order of ids and places."""
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", _text_key(F.col("text")))
-    names = ["span", "place", "stop"]
-    made = add_columns(keyed, ["text"], compute, [T.StructField(c, T.ArrayType(T.LongType(), False)) for c in names], ["id", "tk"])
-    each = made.select("row.id", "row.tk", F.explode(F.arrays_zip(*names)).alias("s"))
-    runs = each.select(F.struct("id", "tk", F.col("s.place").cast("int").alias("place")).alias("at"), F.col("s.stop").cast("int").alias("stop"), F.col("s.span").alias("span"))
+    fields = [T.StructField("span", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("new", T.BooleanType())]
+    runs = add_rows(keyed, "text", lambda texts: run_spans(*utf8_of(texts), run, min_words), fields, ["id", "tk"])
     # The counts are pre-aggregated where the runs are made, so a run that a third of all texts share costs one row a task.
-    firsts = runs.groupBy("span").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("first") < F.col("last")).select("span", "first")
+    least, nulls = F.min("id"), F.max(F.col("id").isNull())
+    firsts = runs.where("new").groupBy("span").agg(least.alias("first"), F.max("id").alias("last"), nulls.alias("nulls")).where((F.col("first") < F.col("last")) | (F.col("nulls") & F.col("first").isNotNull()))
     # Written, so that both sides of the join are plain shuffles, whose large partitions Spark splits.
-    return runs.join(written(firsts), "span").where(F.col("at") > F.col("first")).select("at.id", "at.tk", "at.place", "stop")
+    firsts = written(firsts.select("span", F.when(~F.col("nulls"), F.col("first")).alias("first"), F.lit(True).alias("known")))
+    later = F.col("known") & F.col("id").isNotNull() & (F.col("first").isNull() | (F.col("id") > F.col("first")))
+    return runs.join(firsts, "span", "left").where(~F.col("new") | later).select("id", "tk", "place", "stop")
 
 
 def remove_repeats(
@@ -104,8 +103,8 @@ def remove_repeats(
 ) -> DataFrame:
     """Per row: ``row`` (its ``keep`` columns), text without the sentences of non-first repeated runs, n_sentences and n_removed.
 
-    The first occurrence, by id and place, keeps its sentences; later ones lose them, within a text too. Rows equal in
-    id and text count as one document and don't remove each other; a null id comes first. Texts without a repeat stay
+    The first occurrence, by id and place, keeps its sentences; later ones lose them, within a text too. Rows of one id
+    count as one document and don't remove each other's; so do rows with a null id, which come first. Texts without a repeat stay
     as they are, byte by byte; null stays null; a text all of whose sentences are repeats becomes empty.
     """
     found = repeated_runs(docs, id_col, text_col, run, min_words)
