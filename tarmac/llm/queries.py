@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import bpe, chat, decontaminate, html_text, jaccard_join, langid, media, substring_dedup, token_counts, url_filter
-from tarmac.llm.common import shared_dir
+from tarmac.llm.common import shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,19 +86,21 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch 1 inserts all documents; 2 revises the count of those labelled low quality to marks; 3 deletes toxic ones; 2 comes again."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    labels = _table(spark, sf_dir, "labels")
-    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    counts = [token_counts.count_tokens(F.col("text"), v).alias(v) for v in token_counts.VERSIONS]
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts)
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 0).alias("poor"), F.max(F.col("toxic") == 1).alias("toxic"))
+    # Counts, not texts, are shuffled to the labels, once for all batches.
+    docs = written(docs.join(labels, "doc_id", "left").fillna(False, ["poor", "toxic"]))
+
+    def changes(rows, version, sign=1):
+        return token_counts.counted(rows, version, sign, count_col=version)
+
+    poor, toxic = F.col("poor"), F.col("toxic")
+    revised = changes(docs.where(poor), "space-1", -1).unionByName(changes(docs.where(poor), "mark-1"))
+    deletes = changes(docs.where(toxic & poor), "mark-1", -1).unionByName(changes(docs.where(toxic & ~poor), "space-1", -1))
     rollup = token_counts.Rollup(spark, shared_dir(spark))
-    revised = token_counts.counted(poor, "space-1", -1).unionByName(token_counts.counted(poor, "mark-1"))
-    rollup.commit(1, token_counts.counted(docs, "space-1"))
-    rollup.commit(2, revised)
-    gone = docs.join(toxic, "doc_id", "left_semi")
-    low = labels.where("quality = 0").select("doc_id").distinct()
-    deletes = token_counts.counted(gone.join(low, "doc_id", "left_semi"), "mark-1", -1).unionByName(token_counts.counted(gone.join(low, "doc_id", "left_anti"), "space-1", -1))
-    rollup.commit(3, deletes)
-    rollup.commit(2, revised)
+    for batch, rows in ((1, changes(docs, "space-1")), (2, revised), (3, deletes), (2, revised)):
+        rollup.commit(batch, rows)
     return rollup.totals()
 
 

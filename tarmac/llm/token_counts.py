@@ -16,14 +16,18 @@ def count_tokens(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(VERSIONS[version])), F.lit(0)).cast("long")
 
 
-def counted(docs: DataFrame, version: str, sign: int = 1, text_col: str = "text") -> DataFrame:
-    """One signed change per document: +1 for an insert, -1 for a delete; a revised count is a delete and an insert."""
+def counted(docs: DataFrame, version: str, sign: int = 1, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """One signed change per document: +1 for an insert, -1 for a delete; a revised count is a delete and an insert.
+
+    Tokens are counted in ``text_col``, or were so before and stand in ``count_col`` (null: 0).
+    """
+    tokens = count_tokens(F.col(f"`{text_col}`"), version) if count_col is None else F.coalesce(F.col(f"`{count_col}`").cast("long"), F.lit(0))
     return docs.select(
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         F.lit(version).alias("version"),
         F.lit(sign).cast("long").alias("docs"),
-        (sign * count_tokens(F.col(text_col), version)).alias("tokens"),
+        (sign * tokens).alias("tokens"),
     )
 
 
