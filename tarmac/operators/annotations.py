@@ -114,3 +114,22 @@ def regroupings(old: DataFrame, new: DataFrame, segment: str, group: str) -> Dat
     """Old groups whose segments stand in several new groups: number of new groups and of segments."""
     both = old.select(segment, F.col(group).alias("old_group")).join(new.select(segment, F.col(group).alias("new_group")), segment)
     return both.groupBy("old_group").agg(F.count_distinct("new_group").alias("new_groups"), F.count(F.lit(1)).alias("segments")).where("new_groups > 1")
+
+
+def centroids(df: DataFrame, sequence: str, columns: Sequence[str]) -> DataFrame:
+    """Rows and the medians of the columns of each sequence."""
+    return df.groupBy(sequence).agg(F.count(F.lit(1)).alias("n"), *[F.median(c).alias(c) for c in columns])
+
+
+def missing_classes(df: DataFrame, value: str, split: str) -> DataFrame:
+    """(value, missing): classes without a row in some split, and in how many splits."""
+    total = df.agg(F.count_distinct(split).alias("_all"))
+    counts = df.groupBy(value).agg(F.count_distinct(split).alias("_n"))
+    return counts.crossJoin(F.broadcast(total)).where("_n < _all").select(value, (F.col("_all") - F.col("_n")).alias("missing"))  # one row of fixed size
+
+
+def list_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that one of two lists has more often, with ``kind`` (removed or added) and how many times more."""
+    both = old.withColumn("_d", F.lit(-1)).unionByName(new.withColumn("_d", F.lit(1)))
+    sums = both.groupBy(*old.columns).agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    return sums.select(*old.columns, F.when(F.col("_d") < 0, "removed").otherwise("added").alias("kind"), F.abs("_d").alias("n"))

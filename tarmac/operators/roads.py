@@ -92,3 +92,12 @@ def shared_segments(road_positions: DataFrame, segment: str = "segment_id", road
     """Segments that stand in several roads, with the sorted roads."""
     roads = F.array_join(F.array_sort(F.collect_set(F.col(road).cast("string"))), ",")
     return road_positions.groupBy(segment).agg(F.count_distinct(road).alias("roads"), roads.alias("road_ids")).where("roads > 1")
+
+
+def interleave(df: DataFrame, recording: str, segment: str, labelled: str, widest: int) -> DataFrame:
+    """(recording, segment, previous, next): unlabelled segments between labelled ones of their recording that are at most ``widest`` apart."""
+    w = Window.partitionBy(recording).orderBy(segment)
+    mark = F.when(F.col(labelled), F.col(segment))
+    back, on = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    both = df.withColumn("previous", F.last(mark, ignorenulls=True).over(back)).withColumn("next", F.first(mark, ignorenulls=True).over(on))
+    return both.where(~F.col(labelled) & (F.col("next") - F.col("previous") <= widest)).select(recording, segment, "previous", "next")
