@@ -146,8 +146,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of other bytes than space and 0x09-0x0D, with A-Z in lower case. Rows with equal sets link; null texts
     and texts without words have no shingles and stand alone (their component is their own id, null for a null id).
     Sets and shingles are named by 64-bit hashes. Steps, each distributed: sets and their names; PartEnum signatures,
-    of which those that no other set has are dropped, and with them sets that share too few; the shingles of the sets
-    that stay, rarest first, of which a prefix puts sets into groups; and rounds of exact comparisons in these groups.
+    of which those that no other set has are dropped, and with them sets that share too few; of the signatures of the sets
+    that stay, the rarest that suffice, which put sets into groups; and rounds of exact comparisons in these groups.
     In a round some members of each group, its centres, are compared with the others; components merge; groups with
     one component left are settled. The number of centres grows from round to round until all groups are settled, so
     no pair that may link goes unseen, while copies cost one comparison each.
@@ -166,7 +166,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     longs = T.ArrayType(T.LongType(), False)
     sets = add_columns(texts, ["text"], compute, [T.StructField("fs", longs), T.StructField("bits", longs)], ["node", "n"])
     sets = written(sets.select("row.node", "row.n", "fs", "bits").dropDuplicates(["node"]))
-    groups = written(_prefix_groups(sets))
+    groups = written(_signature_groups(sets))
     labels = written(groups.select("node").distinct().select("node", F.col("node").alias("label")))
     tested, centres = 0, 2
     while True:
@@ -181,26 +181,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _prefix_groups(sets: DataFrame) -> DataFrame:
-    """(f, node, n, after, place): sets by the shingles of their prefix, rarest first; place numbers the sets of a shingle.
+def _signature_groups(sets: DataFrame) -> DataFrame:
+    """(f, node, n, place): sets by signature; place numbers the sets that give it.
 
-    Of a set of n, shingles of no other set come first, and n - ceil(0.75 n) + 1 are taken in all; ``after`` counts the
-    set's shingles after this one.
+    Two sets that link share ``least`` signatures of each, so they also share one if each gives only its
+    count - least + 1 rarest, in an order that is the same for all sets: by number of sets, then by signature.
     """
-    rows = sets.select("node", "n", F.explode("fs").alias("f"))
-    common = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(common, "f")
+
+    def compute(column):
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        made = [signatures(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        if not made:
+            return [], [], []
+        counts = [len(own) for own, _ in made]
+        return np.repeat(np.arange(len(made)), counts), np.concatenate([own for own, _ in made]), np.repeat(np.array([least for _, least in made], np.int32), counts)
+
+    fields = [T.StructField("f", T.LongType()), T.StructField("least", T.IntegerType())]
+    rows = add_rows(sets.select("node", "n", "fs"), "fs", compute, fields, ["node", "n"])
+    # Signatures of one set only come first in the order and meet nobody, so they are counted but not kept.
+    shared = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("f"))).where("df > 1")
     own = Window.partitionBy("node")
     ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "f"))).withColumn("common", F.count(F.lit(1)).over(own))
-    prefix = ranked.where(F.expr("r <= n - ceil(0.75 * n) + 1 - (n - common)")).select("f", "node", "n", (F.col("common") - F.col("r")).alias("after"))
-    return prefix.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy("node")))
+    given = ranked.where("r <= common - least + 1").select("f", "node", "n")
+    return given.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy("node")))
 
 
 def _compare(groups: DataFrame, labels: DataFrame, sets: DataFrame, tested: int, centres: int) -> tuple[DataFrame, bool]:
     """Links between centres (places tested + 1 to centres) and later members of their groups, and whether groups have more members.
 
-    Before sets are compared, pairs are ruled out that can't link: by size, by the shingles that are left after the
-    common one (a pair that links meets the bound at the first shingle it shares), and by their parities.
+    Before sets are compared, pairs are ruled out that can't link: by size and by their parities.
     """
     labelled = groups.join(labels, "node")
     bounds = labelled.groupBy("f").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > tested + 1))
@@ -208,7 +217,7 @@ def _compare(groups: DataFrame, labels: DataFrame, sets: DataFrame, tested: int,
     live = labelled.join(bounds.select("f"), "f").join(sets.select("node", *words), "node")
 
     def side(df, name):
-        return df.select("f", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "label", "place", "after", *[f"w{i}" for i in range(WORDS)])])
+        return df.select("f", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "label", "place", *[f"w{i}" for i in range(WORDS)])])
 
     n = F.col("n_a") + F.col("n_b")
     unequal = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(WORDS)), F.lit(0))
@@ -216,7 +225,6 @@ def _compare(groups: DataFrame, labels: DataFrame, sets: DataFrame, tested: int,
         (F.col("place_b") > F.col("place_a"))
         & (F.col("label_a") != F.col("label_b"))
         & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & (7 * (1 + F.least("after_a", "after_b")) >= 3 * n)
         & (7 * unequal <= n)
     )
     centre = live.where((F.col("place") > tested) & (F.col("place") <= centres))
