@@ -354,6 +354,34 @@ def test_removed_sentences_equal_brute_force(spark):
     assert got == brute_removed(documents())
 
 
+def test_passages_at_any_place_go(spark):
+    rng = np.random.RandomState(5)
+    rows, planted = [], []
+    for i in range(400):
+        vocabulary, stops = [(4000, 0.0), (4000, 0.05), (40, 0.0), (4000, 0.04), (3, 0.0)][i % 5]
+
+        def text(n, vocabulary=vocabulary, stops=stops, i=i):
+            return [f"{'pq'[i % 2]}{i}x{x}{'.' if y < stops else ''}" for x, y in zip(rng.randint(0, vocabulary, n), rng.rand(n), strict=True)]
+
+        passage = text(rng.randint(51, 101))
+        for k in range(2):
+            before, after = ([f"{w}o{k}" for w in text(rng.randint(0, 60))] for _ in range(2))
+            rows.append((2 * i + k, " ".join(before + passage + after)))
+            planted.append((len(before), len(before) + len(passage)))
+    got = {r["row"]["doc_id"]: r["text"].split() for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = {d: t.split() for d, t in rows}
+    for i in range(400):
+        if i % 5 == 4:  # of three words, a passage repeats itself
+            assert len(got[2 * i + 1]) < len(whole[2 * i + 1])
+            continue
+        a, b = planted[2 * i + 1]
+        d, old, new = 2 * i + 1, whole[2 * i + 1], got[2 * i + 1]
+        # Split by words: what stays is the text around the passage, whole, and a few words at the passage's ends.
+        assert new[:a] == old[:a] and new[len(new) - (len(old) - b) :] == old[b:]
+        assert len(new) - a - (len(old) - b) <= 40 and len(new) < len(old), d
+        assert i % 5 == 2 or got[2 * i] == whole[2 * i]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
