@@ -27,11 +27,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest id (of rows equal in id, one)."""
-    groups = jaccard_join.jaccard_components(docs)
-    # Rows without shingles stand alone; the others of a component go but for its smallest id.
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates, that with the smallest id (null last), text key and other columns.
+
+    Rows are told apart by id and text, so copies under one id or without an id go too, and another text under the id of
+    a copy stays. Rows without shingles stand alone and stay.
+    """
+    rows = written(jaccard_join.labelled_rows(docs).where("label is not null").groupBy("id", "tk", "label").agg(F.count(F.lit(1)).alias("copies")))
+    key = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tk")
+    least = rows.groupBy(F.col("label").alias("l2")).agg(F.min(key).alias("least"))
+    marked = rows.join(least, F.col("label") == F.col("l2")).withColumn("gone", ~key.eqNullSafe(F.col("least")))
+    marks = marked.where("gone or copies > 1").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.col("gone").alias("_gone"))
+    mine = (F.xxhash64("text") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # Most rows have no mark and pass; of rows equal in id and text, the least is found by partial aggregates.
+    told = docs.join(marks, mine, "left")
+    equal = told.where("not _gone").groupBy("_id", "_tk").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return told.where("_gone is null").select(*docs.columns).unionByName(equal)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one component left are settled. The number of centres grows from round to round until all groups are settled, so
     no pair that may link goes unseen, while copies cost one comparison each.
     """
+    whole = labelled_rows(docs, id_col, text_col)
+    least = whole.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
+    out = whole.join(least.withColumnRenamed("label", "l2"), F.col("label") == F.col("l2"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tk, n, label) of every row of ``docs``: text key, set size and the name of its component, null without shingles."""
     table = _sets_table(docs, id_col, text_col)
     found = _survivors(docs, text_col)
     reps = table.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "tk")).alias("at"), F.first("n").alias("n"))
@@ -175,10 +183,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not more:
             break
         tested, centres = centres, centres * 8
-    whole = table.join(labels.select(F.col("node").alias("lnode"), "label"), F.col("node") == F.col("lnode"), "left").withColumn("label", F.coalesce("label", "node"))
-    least = whole.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    out = whole.join(least.withColumnRenamed("label", "l2"), F.col("label") == F.col("l2"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    named = table.join(labels.select(F.col("node").alias("lnode"), "label"), F.col("node") == F.col("lnode"), "left")
+    return named.select("id", "tk", "n", F.coalesce("label", "node").alias("label"))
 
 
 def _prefix_groups(sets: DataFrame) -> DataFrame:

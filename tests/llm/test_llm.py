@@ -382,6 +382,19 @@ def test_passages_at_any_place_go(spark):
         assert i % 5 == 2 or got[2 * i] == whole[2 * i]
 
 
+def test_pipeline_keeps_one_row_of_near_copies(spark):
+    import corpus_pipeline as p
+
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    near = text("a") + " more"
+    data = [(1, text("a"), "en", "t", 1), (1, text("a"), "en", "s", 1), (2, near, "en", "s", 1), (2, text("b"), "en", "s", 1), (None, text("a"), "en", "s", 1)]
+    data += [(None, text("c"), "en", "s", 1), (None, text("c"), "en", "s", 1), (None, text("d"), "en", "s", 1), (5, text("d"), "en", "s", 1), (3, None, "en", "s", 1), (3, None, "en", "s", 1)]
+    kept = Counter(tuple(r) for r in p.near_duplicates(spark, spark.createDataFrame(data, DOC), SF).collect())
+    assert kept == Counter([data[1], data[3], data[5], data[8], data[9], data[10]])
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
