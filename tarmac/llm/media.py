@@ -19,9 +19,10 @@ UNIT = 64
 #: Samples a second named in the WAV header.
 RATE = 8000
 #: Samples of a Fourier frame, and between the starts of two frames.
-FRAME, HOP = 256, 256
-#: Peaks kept of a frame (one in each equal band of the spectrum), and following frames that a peak is paired with.
-BANDS, FAN = 2, 2
+FRAME, HOP = 256, 32
+#: Peaks kept of a frame (one in each equal band of the spectrum), and hops to the later frames that a peak is paired with
+#: (below 16; frames one frame's length apart or more share no sample).
+BANDS, STEPS = 2, (8, 12)
 #: Frames that are transformed at once.
 BLOCK_FRAMES = 4096
 
@@ -63,11 +64,11 @@ def peaks(samples: bytes) -> np.ndarray:
 
 
 def fingerprint(samples: bytes) -> np.ndarray:
-    """Time-coded pairs of peaks: frame number in the upper 32 bits, below it the first bin, the second bin and their distance in frames."""
+    """Time-coded pairs of peaks: frame number in the upper 32 bits, below it the first bin, the second bin and their distance in hops."""
     bins = peaks(samples)
     made = []
     frames = np.arange(len(bins), dtype=np.int64)
-    for step in range(1, FAN + 1):
+    for step in STEPS:
         for a in range(BANDS):
             for b in range(BANDS):
                 if len(bins) > step:
@@ -127,7 +128,8 @@ def media_features(media: DataFrame, media_col: str = "media", keep: tuple[str,
 def matching_offsets(fingerprints: DataFrame, probe: DataFrame, id_col: str = "doc_id", least: int = 5) -> DataFrame:
     """Pairs (probe, id) with at least ``least`` equal peak pairs at one distance in time, joined on the pair's code.
 
-    Both sides have ``id_col`` and ``fingerprint``; the codes of the probes are pre-aggregated by distance.
+    Both sides have ``id_col`` and ``fingerprint``; the codes of the probes are pre-aggregated by distance. ``offset`` is
+    the distance in whole frames of ``FRAME`` samples, ``samples`` the distance in samples, to the nearest hop.
     """
 
     def codes(df, name):
@@ -136,4 +138,4 @@ def matching_offsets(fingerprints: DataFrame, probe: DataFrame, id_col: str = "d
 
     joined = codes(fingerprints, "id").join(codes(probe, "probe"), "code")
     votes = joined.groupBy("probe", "id", (F.col("t_id") - F.col("t_probe")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.where(F.col("votes") >= least).groupBy("probe", "id").agg(F.max_by("offset", F.struct("votes", "offset")).alias("offset"), F.max("votes").alias("votes"))
+    return votes.where(F.col("votes") >= least).groupBy("probe", "id").agg(F.max_by("offset", F.struct("votes", "offset")).alias("hops"), F.max("votes").alias("votes")).select("probe", "id", F.round(F.col("hops") * HOP / FRAME).cast("long").alias("offset"), "votes", (F.col("hops") * HOP).alias("samples"))

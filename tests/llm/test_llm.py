@@ -191,6 +191,21 @@ def test_fingerprints_find_a_part(spark):
     assert [(r["probe"], r["id"], r["offset"]) for r in got] == [("part", "whole", 10)]
 
 
+def test_fingerprints_find_parts_at_any_sample(spark):
+    rng = np.random.RandomState(2)
+    whole = {f"w{i}": rng.randint(0, 256, 10_240).astype(np.uint8).tobytes() for i in range(10)}
+    starts = {f"{w}:{at}": (w, int(at)) for w in whole for at in rng.randint(0, 10_240 - 1280, 10)}
+    for w, at in starts.values():  # brute force: the part stands once in its whole, in no other
+        assert [whole[x].find(whole[w][at : at + 1280]) for x in sorted(whole) if whole[w][at : at + 1280] in whole[x]] == [at]
+    table = spark.createDataFrame([(w, media.fingerprint(x).tolist()) for w, x in whole.items()], "doc_id string, fingerprint array<long>")
+    probes = spark.createDataFrame([(p, media.fingerprint(whole[w][at : at + 1280]).tolist()) for p, (w, at) in starts.items()], "doc_id string, fingerprint array<long>")
+    best = {}
+    for r in media.matching_offsets(table, probes).collect():
+        best[r["probe"]] = max(best.get(r["probe"], (0,)), (r["votes"], r["id"], r["samples"]))
+    hits = sum(p in best and best[p][1] == w and abs(best[p][2] - at) <= 32 for p, (w, at) in starts.items())
+    assert hits >= 0.98 * len(starts)
+
+
 def test_language_of_held_out_documents(spark):
     docs = {r[0]: r[1] for r in duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()}
     got = queries.op4_language(spark, "/root/testdata/sf0.01").collect()
