@@ -223,6 +223,18 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_no_label_is_left_out(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.RandomState(4)
+    data = [(i, " ".join("".join(alphabet[x] for x in rng.randint(0, 26, 6)) for _ in range(30)), f"l{i % 300:03}") for i in range(310)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model["labels"] == [f"l{i:03}" for i in range(300)]
+    one, some = ({r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model, block=b).collect()} for b in (300, 256))
+    assert {d: x for d, (x, _) in some.items()} == {d: x for d, _, x in data}
+    assert all(one[d][0] == some[d][0] and abs(one[d][1] - some[d][1]) < 1e-5 for d in one)
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "Der schnelle  Fuchs, 12 läuft über-all hin " * 9
     whole = np.sort(langid.grams([text])[0])
