@@ -86,7 +86,18 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives a lost executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tarmac_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once all that reads them is written itself."""
+    for table in tables:
+        path = table._tarmac_path
+        jvm = table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def texts_of(column: pa.Array) -> list[str]:

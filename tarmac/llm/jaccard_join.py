@@ -1,13 +1,13 @@
-"""N-gram Jaccard join: PartEnum signatures find all pairs of shingle sets with a similarity of 0.75 or more."""
+"""N-gram Jaccard join: sets that share a PartEnum signature are compared, which finds all with a similarity of 0.75 or more."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import add_columns, add_rows, mix, run_hashes, utf8_of, words_of, written
+from tarmac.llm.common import add_columns, add_rows, discard, mix, run_hashes, utf8_of, words_of, written
 from tarmac.llm.components import connect
 
 #: Words of a shingle.
@@ -21,6 +21,11 @@ ENUMERATED = 64
 #: Parts of a large band, by its upper size limit.
 PARTS = 0.6
 
+#: Bits of a signature: two that are equal by chance put sets together that the comparison parts again.
+SIG_BITS = 48
+#: Turns that merge groups of copies before all open pairs are compared, one signature in how many a turn looks at, and
+#: sets of a signature that one block of the comparison has.
+MERGES, LOOKED_AT, BLOCK = 3, 4, 1000
 #: 64-bit words of the parities by which pairs are ruled out before their sets are compared.
 WORDS = 8
 
@@ -99,7 +104,7 @@ def signatures(x: np.ndarray) -> tuple[np.ndarray, int]:
     if sparse:
         out.append(mix(np.sort(mix(x))[: n - -(-3 * n // 4) + 1] + np.uint64(0xABCD)))
     least = 1 if sparse or n < 2 * ENUMERATED else -(-3 * n // 4) // 10 + 1
-    return np.unique(np.concatenate(out)).view(np.int64), least
+    return np.unique(np.concatenate(out) >> np.uint64(64 - SIG_BITS)).view(np.int64), least
 
 
 def _sets_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,30 +119,36 @@ def _sets_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(made.select("row.id", "row.tk", "n", "node"))
 
 
-def _survivors(docs: DataFrame, text_col: str) -> DataFrame:
-    """Nodes that share enough signatures with other nodes: a superset of all sets with a link."""
+def _shared_signatures(docs: DataFrame, text_col: str) -> DataFrame:
+    """(sig, node, n): of every set that may link at all, the rarest signatures that it shares with other sets.
+
+    A set shares with any partner at least ``least`` of its signatures, so it needs that many shared ones to take part,
+    and the ``least - 1`` most frequent of them can be left out: of what two partners share, the rarest stays with both.
+    """
 
     def compute(texts):
-        nodes, sigs, least, seen = [], [], [], set()
+        nodes, sigs, sizes, least, seen = [], [], [], [], set()
         for x in shingle_sets(*utf8_of(texts)):
             node = set_id(x) if len(x) else None
             if node is None or node in seen:  # copies within the batch give none
                 continue
             seen.add(node)
             own, needed = signatures(x)
-            nodes.append(np.full(len(own), node, np.int64))
             sigs.append(own)
-            least.append(np.full(len(own), needed, np.int32))
+            for values, v, kind in ((nodes, node, np.int64), (sizes, len(x), np.int64), (least, needed, np.int32)):
+                values.append(np.full(len(own), v, kind))
         if not nodes:
-            return [], [], [], []
+            return [], [], [], [], []
         made = np.concatenate(nodes)
-        return np.zeros(len(made), np.int64), np.concatenate(sigs), made, np.concatenate(least)
+        return np.zeros(len(made), np.int64), np.concatenate(sigs), made, np.concatenate(sizes), np.concatenate(least)
 
-    fields = [T.StructField("sig", T.LongType()), T.StructField("node", T.LongType()), T.StructField("least", T.IntegerType())]
+    fields = [T.StructField("sig", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("least", T.IntegerType())]
     rows = add_rows(docs.select(F.col(f"`{text_col}`").alias("text")), "text", compute, fields, [])
-    same = Window.partitionBy("sig")
-    live = rows.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo < hi")
-    return live.select("node", "sig", "least").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least")).where("shared >= least").select("node")
+    same, own = Window.partitionBy("sig"), Window.partitionBy("node")
+    met = rows.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).withColumn("df", F.count(F.lit(1)).over(same))
+    live = met.where("lo < hi").select("sig", "node", "n", "least", "df").distinct()
+    ranked = live.withColumn("shared", F.count(F.lit(1)).over(own)).where("shared >= least")
+    return ranked.withColumn("r", F.row_number().over(own.orderBy("df", "sig"))).where("r <= shared - least + 1").select("sig", "node", "n")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,11 +157,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of other bytes than space and 0x09-0x0D, with A-Z in lower case. Rows with equal sets link; null texts
     and texts without words have no shingles and stand alone (their component is their own id, null for a null id).
     Sets and shingles are named by 64-bit hashes. Steps, each distributed: sets and their names; PartEnum signatures,
-    of which those that no other set has are dropped, and with them sets that share too few; the shingles of the sets
-    that stay, rarest first, of which a prefix puts sets into groups; and rounds of exact comparisons in these groups.
-    In a round some members of each group, its centres, are compared with the others; components merge; groups with
-    one component left are settled. The number of centres grows from round to round until all groups are settled, so
-    no pair that may link goes unseen, while copies cost one comparison each.
+    of which those that no other set has are dropped, and with them sets that share too few; a few turns that compare
+    each set with one other of its signatures' groups, which merge groups of copies at one comparison for each; and the
+    comparison of all pairs of sets that share a signature and are not yet in one component, so that no pair that may
+    link goes unseen.
     """
     whole = labelled_rows(docs, id_col, text_col)
     least = whole.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
@@ -161,9 +171,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tk, n, label) of every row of ``docs``: text key, set size and the name of its component, null without shingles."""
     table = _sets_table(docs, id_col, text_col)
-    found = _survivors(docs, text_col)
+    shared = written(_shared_signatures(docs, text_col))
     reps = table.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "tk")).alias("at"), F.first("n").alias("n"))
-    reps = written(reps.join(found, "node").select("node", "n", F.col("at.id").alias("rid"), F.col("at.tk").alias("rtk")))
+    reps = written(reps.join(shared.select("node").distinct(), "node").select("node", "n", F.col("at.id").alias("rid"), F.col("at.tk").alias("rtk")))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", F.xxhash64("text"))
     texts = texts.join(reps, (F.col("tk") == F.col("rtk")) & F.col("id").eqNullSafe(F.col("rid"))).select("node", "n", "text")
 
@@ -174,62 +184,62 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     longs = T.ArrayType(T.LongType(), False)
     sets = add_columns(texts, ["text"], compute, [T.StructField("fs", longs), T.StructField("bits", longs)], ["node", "n"])
     sets = written(sets.select("row.node", "row.n", "fs", "bits").dropDuplicates(["node"]))
-    groups = written(_prefix_groups(sets))
-    labels = written(groups.select("node").distinct().select("node", F.col("node").alias("label")))
-    tested, centres = 0, 2
-    while True:
-        links, more = _compare(groups, labels, sets, tested, centres)
-        labels = connect(labels, links)
-        if not more:
-            break
-        tested, centres = centres, centres * 8
+    labels = written(reps.select("node", F.col("node").alias("label")))
+    for turn in range(MERGES):
+        labels = connect(labels, _linked(_centre_pairs(shared, labels, sets, turn + 1), sets))
+    labels = connect(labels, _linked(_open_pairs(shared, labels, sets), sets))
+    discard(shared, reps, sets)
     named = table.join(labels.select(F.col("node").alias("lnode"), "label"), F.col("node") == F.col("lnode"), "left")
     return named.select("id", "tk", "n", F.coalesce("label", "node").alias("label"))
 
 
-def _prefix_groups(sets: DataFrame) -> DataFrame:
-    """(f, node, n, after, place): sets by the shingles of their prefix, rarest first; place numbers the sets of a shingle.
+def _may_link() -> Column:
+    """Whether sets a and b of different components may link, by their sizes and parities."""
+    n = F.col("n_a") + F.col("n_b")
+    unequal = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    return (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (7 * unequal <= n)
 
-    Of a set of n, shingles of no other set come first, and n - ceil(0.75 n) + 1 are taken in all; ``after`` counts the
-    set's shingles after this one.
-    """
-    rows = sets.select("node", "n", F.explode("fs").alias("f"))
-    common = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(common, "f")
-    own = Window.partitionBy("node")
-    ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "f"))).withColumn("common", F.count(F.lit(1)).over(own))
-    prefix = ranked.where(F.expr("r <= n - ceil(0.75 * n) + 1 - (n - common)")).select("f", "node", "n", (F.col("common") - F.col("r")).alias("after"))
-    return prefix.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy("node")))
 
+def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
+    return df.select(*more, *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "label", "bits")])
 
-def _compare(groups: DataFrame, labels: DataFrame, sets: DataFrame, tested: int, centres: int) -> tuple[DataFrame, bool]:
-    """Links between centres (places tested + 1 to centres) and later members of their groups, and whether groups have more members.
 
-    Before sets are compared, pairs are ruled out that can't link: by size, by the shingles that are left after the
-    common one (a pair that links meets the bound at the first shingle it shares), and by their parities.
-    """
-    labelled = groups.join(labels, "node")
-    bounds = labelled.groupBy("f").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("place").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > tested + 1))
-    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)]
-    live = labelled.join(bounds.select("f"), "f").join(sets.select("node", *words), "node")
+def _centre_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """At most one pair (a, b) for each set: it and a centre of one of its signatures, of another component, that may link.
 
-    def side(df, name):
-        return df.select("f", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "label", "place", "after", *[f"w{i}" for i in range(WORDS)])])
-
-    n = F.col("n_a") + F.col("n_b")
-    unequal = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(WORDS)), F.lit(0))
-    fits = (
-        (F.col("place_b") > F.col("place_a"))
-        & (F.col("label_a") != F.col("label_b"))
-        & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & (7 * (1 + F.least("after_a", "after_b")) >= 3 * n)
-        & (7 * unequal <= n)
-    )
-    centre = live.where((F.col("place") > tested) & (F.col("place") <= centres))
-    met = side(centre, "a").withColumnRenamed("f", "fa").join(side(live, "b"), (F.col("fa") == F.col("f")) & fits)
-    pairs = met.select(F.col("node_a").alias("a"), F.col("n_a").alias("na"), F.col("node_b").alias("b"), F.col("n_b").alias("nb")).distinct()
-    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("fs").alias("fb")), "b").join(sets.select(F.col("node").alias("a"), F.col("fs").alias("fa")), "a")
-    same = full.withColumn("common", F.size(F.array_intersect("fa", "fb")))
-    links = same.where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-    more = not bounds.where(F.col("size") > centres + 1).isEmpty()
-    return links, more
+    A signature's centre is found by partial aggregates, and so is a set's choice; both hang on the turn, as does the
+    share of signatures that is looked at. A turn only merges what it can, and leaves the rest to ``_open_pairs``.
+    """
+    rows = shared.where(F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(LOOKED_AT)) == 0).select("sig", "node").join(labels, "node")
+    key = F.xxhash64("sig", F.lit(-turn))  # least of the names after an exclusive or: another set for each signature
+    centres = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.col("node").bitwiseXOR(key)).alias("least")).where("lo < hi")
+    centres = centres.select("sig", F.col("least").bitwiseXOR(key).alias("centre"))
+    met = rows.join(centres, "sig").select("node", "centre").where("node <> centre").distinct()
+    known = sets.select("node", "n", "bits").join(labels, "node")
+    met = met.join(_side(known, "a"), F.col("node") == F.col("node_a")).select("centre", "node_a", "n_a", "label_a", "bits_a").join(_side(known, "b"), F.col("centre") == F.col("node_b"))
+    seed = F.xxhash64(F.lit(turn))
+    return met.where(_may_link()).groupBy(F.col("node_a").alias("a")).agg(F.min(F.col("node_b").bitwiseXOR(seed)).alias("least")).select("a", F.col("least").bitwiseXOR(seed).alias("b"))
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a signature, are of two components and may link by their sizes and parities.
+
+    Within a signature, one side is split into blocks of about ``BLOCK`` sets, each of which meets the whole other side,
+    so a frequent signature is many tasks' work. Pairs that can't link are ruled out in the join and never written.
+    """
+    rows = shared.select("sig", "node").join(labels, "node")
+    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    live = written(rows.join(mixed.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig"))
+    known = live.join(sets.select("node", "n", "bits"), "node")
+    mine = _side(known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "a", "sig", "block").alias("m")
+    others = _side(known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b", "sig", "block").alias("o")
+    met = others.join(mine, (F.col("o.sig") == F.col("m.sig")) & (F.col("o.block") == F.col("m.block")) & (F.col("node_a") < F.col("node_b")) & _may_link())
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity."""
+    half = pairs.join(sets.select(F.col("node").alias("b"), F.col("fs").alias("fb")), "b")
+    full = half.join(sets.select(F.col("node").alias("a"), F.col("fs").alias("fa")), "a")
+    same = full.select("a", "b", F.size(F.array_intersect("fa", "fb")).alias("common"), (F.size("fa") + F.size("fb")).alias("both"))
+    return same.where(100 * F.col("common") >= PERCENT * (F.col("both") - F.col("common"))).select("a", "b")
