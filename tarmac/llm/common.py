@@ -74,9 +74,11 @@ def add_rows(df: DataFrame, input_: str, compute: Callable[..., tuple], fields:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the cluster's shared checkpoint folder; a local one is set only where none is configured."""
+    """A new path below the cluster's shared checkpoint folder; a local one is set only in local mode, and only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tarmac-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tarmac-{uuid.uuid4().hex}"

@@ -31,39 +31,65 @@ def counted(docs: DataFrame, version: str, sign: int = 1, text_col: str = "text"
     )
 
 
+_TOTALS = "source string, lang string, version string, docs long, tokens long"
+
+
 class Rollup:
     """Additive totals by source, language and tokenizer version below ``path``.
 
-    A batch is pre-aggregated to one row per key and written to the partition of its batch id alone, so committing a
-    batch again replaces it by the same rows, and a commit that failed half way is simply done again. Totals are the sum
-    of all committed batches; keys whose documents and tokens are both 0 are left out. Null sources and languages are
-    keys of their own.
+    A batch is pre-aggregated to one row per key and written to the folder of its id, so committing a batch again replaces
+    it, also by no rows, and a commit that failed half way is simply done again. ``compact`` sums batches into a new
+    generation, which counts from the moment that its list of batch ids is whole; a batch of that list that comes again
+    is left alone. Totals are the sum of the last whole generation and of all batches it doesn't list; keys whose documents
+    and tokens are both 0 are left out. Null sources and languages are keys of their own.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _fs(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+    def _names(self, path: str) -> list[str]:
+        fs, folder = self._fs(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _generation(self) -> tuple[int, set[int]]:
+        """The last whole generation (0: none), and the ids of the batches in it."""
+        whole = [int(g) for g in self._names(f"{self.path}/generations") if "_SUCCESS" in self._names(f"{self.path}/generations/{g}/ids")]
+        if not whole:
+            return 0, set()
+        return max(whole), {r[0] for r in self.spark.read.schema("batch_id long").parquet(f"{self.path}/generations/{max(whole)}/ids").collect()}
+
+    def _batches(self) -> set[int]:
+        return {int(name.split("=")[1]) for name in self._names(f"{self.path}/batches") if name.startswith("batch_id=")}
+
+    def _sums(self, generation: int, batches: set[int]) -> DataFrame:
+        folders = [f"{self.path}/batches/batch_id={b}" for b in sorted(batches)] + ([f"{self.path}/generations/{generation}/sums"] if generation else [])
+        rows = self.spark.read.schema(_TOTALS).parquet(*folders) if folders else self.spark.createDataFrame([], _TOTALS)
+        return rows.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
     def commit(self, batch_id: int, changes: DataFrame) -> None:
         """Adds the signed changes of a batch, once however often it is called."""
+        if batch_id in self._generation()[1]:
+            return
         sums = changes.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        rows = sums.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
+        sums.write.mode("overwrite").parquet(f"{self.path}/batches/batch_id={batch_id}")
 
     def totals(self) -> DataFrame:
         """Current totals: source, lang, version, docs, tokens."""
-        schema = "source string, lang string, version string, docs long, tokens long, batch_id long"
-        sums = self.spark.read.schema(schema).parquet(self.path).groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0))
+        generation, listed = self._generation()
+        return self._sums(generation, self._batches() - listed).where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
     def compact(self, up_to: int) -> None:
-        """Replaces all batches up to an id by one of that id with their sum (to be run while no batch is committed)."""
-        schema = "source string, lang string, version string, docs long, tokens long, batch_id long"
-        old = self.spark.read.schema(schema).parquet(self.path).where(F.col("batch_id") <= up_to)
-        sums = old.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        zero = old.select("batch_id").distinct().where(F.col("batch_id") < up_to).select(
-            F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit("").alias("version"), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), "batch_id"
-        )
-        from tarmac.llm.common import written
-
-        rows = written(sums.withColumn("batch_id", F.lit(up_to).cast("long")).unionByName(zero))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
+        """Sums all batches up to an id into a new generation and deletes their folders (to be run while no batch is committed)."""
+        generation, listed = self._generation()
+        fresh = {b for b in self._batches() if b <= up_to} - listed
+        target = f"{self.path}/generations/{generation + 1}"
+        self._sums(generation, fresh).write.mode("overwrite").parquet(f"{target}/sums")
+        ids = self.spark.createDataFrame([(b,) for b in sorted(listed | fresh)], "batch_id long")
+        ids.coalesce(1).write.mode("overwrite").parquet(f"{target}/ids")
+        for b in listed | fresh:
+            fs, folder = self._fs(f"{self.path}/batches/batch_id={b}")
+            fs.delete(folder, True)
