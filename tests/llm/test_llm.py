@@ -93,6 +93,21 @@ def test_components_of_random_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_components_of_a_large_group(spark):
+    """Chains of near copies, of which most pairs don't link, and a passage that all documents share."""
+    rng = np.random.RandomState(8)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows, text = [], [f"w{x}" for x in rng.randint(0, 4000, 80)]
+    for i in range(150):
+        if i % 30 == 29:
+            text = [f"v{x}" for x in rng.randint(0, 4000, 80)]
+        text = list(text)
+        text[rng.randint(len(text))] = f"z{i}"
+        rows.append((i, f"{' '.join(text)} {passage}"))
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.RandomState(1)
     for _ in range(3000):
@@ -168,6 +183,21 @@ def test_bpe_equals_the_library(spark, odd):
     assert sorted(r["n_tokens"] for r in bpe.round_trip(odd, queries.tokenizer_path(), keep=tuple(odd.columns)).collect()) == [0, 0, 0, 2, 2, 8, 40_000]
 
 
+def test_bpe_of_every_code_point_and_of_long_words(spark, empty):
+    from tokenizers import Tokenizer
+
+    tool, own = Tokenizer.from_file(queries.tokenizer_path()), bpe.bpe(queries.tokenizer_path())
+    tool.no_truncation()
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.RandomState(7)
+    texts = ["".join(f"a{chr(c)}b !{chr(c)}! 1{chr(c)} " for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    texts += ["".join(map(chr, rng.choice(points[:0x2500], 20))) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("abcdefgh"), n)) for n in (999, 1001, 5000)] + ["a" * 3000, "ab" * 2000, "!" * 2500]
+    for text, ids, theirs in zip(texts, own.encode_batch(texts), tool.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == theirs.ids, text[:40]
+    assert bpe.round_trip(empty, queries.tokenizer_path()).count() == 0
+
+
 def test_media_round_trip(spark, odd):
     for payload in (bytes(64), bytes(range(256)) * 5, b"x" * 640):
         assert media.from_wav(media.to_wav(payload)) == payload
@@ -264,12 +294,45 @@ def test_pages_give_their_articles(spark):
         ("<article>cut <scr", "cut"),
         ("<article>a<script>x</scr", "a"),
         ("<article>a <!-- b", "a"),
+        ("<article><div class='article-header'><h1>Head line</h1></div><p data-id='share-4'>Body of the text.</p></article>", "Head line Body of the text."),
+        ("<article><p>First part of it.</p><section id='related-work'><h2 id='warning-signs'>Signs</h2><p>More words here.</p></section></article>", "First part of it. Signs More words here."),
+        ("<nav><a href=a>Home</a></nav><div class='content side-by-side'><p>Only text of the page stands here.</p></div><footer>All rights reserved</footer>", "Only text of the page stands here."),
+        ("<div class=content><p>The story itself is told in this place, in many words.</p></div><article class=teaser><a href=x>Short teaser</a></article>", "The story itself is told in this place, in many words."),
+        ("<main><p>Words of the main text are here.</p><aside><article>related story told again</article></aside><p>End of it.</p></main>", "Words of the main text are here. End of it."),
+        ("<form id=f><nav><a href=x>Home</a></nav><div class=content><p>All of this page stands in a form, as some do.</p></div><footer>Foot</footer></form>", "All of this page stands in a form, as some do."),
+        ("<footer>Only a footer here</footer>", ""),
+        ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+        ("<ARTICLE><P>İ upper case tags.</P></ARTICLE>", "İ upper case tags."),
     ],
 )
 def test_pages_of_other_kinds(page, text):
     assert html_text.extract(page) == text
 
 
+def test_odd_pages_take_linear_time():
+    import time
+
+    html_text.extract("<p>weights are learned here")
+    for page in ("<div>" * 20_000 + "x", "<a " * 20_000, "<script " * 20_000, "<script>" * 20_000, '<a b="' * 20_000, "<!-" * 20_000 + "<!--" * 20_000, "<" * 50_000, "<p>" * 20_000):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 2, page[:20]
+
+
+def brute_region(scores):
+    return max(((sum(scores[i:j]), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0))
+
+
+def test_region_is_the_best_of_all():
+    rng = np.random.RandomState(6)
+    weights = {"alone": 1.0, "beside": -1.0, "link": -2.0, "p": -0.5, "div": -3.0}
+    for _ in range(200):
+        parsed = [html_text.Token("word", False, "", int(rng.randint(1, 4)), False, bool(rng.rand() < 0.4), "plain", 0.0, -1, ()) if rng.rand() < 0.6 else html_text.Token(f"tag:{rng.choice(['p', 'div'])}", True, "", 0, False, False, "plain", 0.0, -1, ()) for _ in range(12)]
+        scores = [t.words * (weights["link"] if t.link else weights["alone"]) if t.kind == "word" else weights[t.kind[4:]] for t in parsed]
+        begin, end = html_text._region(parsed, weights)
+        assert abs(sum(scores[begin:end]) - max(0, brute_region(scores)[0])) < 1e-9
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [(r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()] == [("", 0), ("", 0)]
@@ -312,6 +375,31 @@ def test_urls_of_odd_rows(spark):
     assert got[(8, "b.org", "org/fr/", "allow")] == 1 and got[(9, "b.org", None, "allow")] == 1 and got[(10, "notexample.com", None, "allow")] == 1 and got[(11, "a\nb.net", "net/", "block")] == 1
 
 
+def test_long_rules_and_hosts(spark):
+    rules = spark.createDataFrame([("a.net", "/" + "x" * 3000, "block"), ("net", "/", "allow"), ("b.org", "", "block"), ("q." * 40 + "com", "/z", "block")], "host string, path string, verdict string")
+    urls = ["http://w.a.net/" + "x" * 3001, "http://a.net/" + "x" * 2999, "http://" + "l." * 40_000 + "b.org/p", "http://" + "q." * 41 + "com/zz", "http://" + "q." * 39 + "com/zz", "http://ab.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["row"]["page_id"]: (r["rule"] and r["rule"][:6], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: ("a.net/", "block"), 1: ("net/", "allow"), 2: ("b.org", "block"), 3: ("q.q.q.", "block"), 4: (None, "allow"), 5: (None, "allow")}
+    assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_batches_of_a_generation_come_again(spark, empty):
+    rollup = token_counts.Rollup(spark, shared_dir(spark))
+    assert rollup.totals().count() == 0
+    rows = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], "source string, lang string, version string, docs long, tokens long")
+    for batch, n in ((1, 3), (2, 5), (4, 7)):
+        rollup.commit(batch, rows(n))
+    rollup.compact(2)
+    for batch, n in ((1, 3), (3, 11), (2, 5), (4, 7)):
+        rollup.commit(batch, rows(n))
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(4, 26)]
+    rollup.commit(4, token_counts.counted(empty, "space-1"))  # a batch that comes again without rows has none
+    rollup.compact(4)
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(3, 19)]
+
+
 def test_rollup_commits_are_idempotent(spark, odd):
     rollup = token_counts.Rollup(spark, shared_dir(spark))
     first = token_counts.counted(odd, "space-1")
