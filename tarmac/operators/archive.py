@@ -58,13 +58,16 @@ def method_summary(models: DataFrame, method: str, split: str, size: str, time:
     )
 
 
-def resolve_stems(stems: DataFrame, wanted: DataFrame, stem: str = "stem", least: int = 4) -> DataFrame:
+def resolve_stems(stems: DataFrame, wanted: DataFrame, stem: str = "stem") -> DataFrame:
     """The file of each wanted stem: the exact one, else the only one that begins with it; ``found`` counts candidates.
 
-    Stems meet by their first ``least`` characters, the shortest prefix that may be asked for.
+    Stems give their prefixes of the lengths that are asked for (few, and bounded by the longest name), and meet by equality.
     """
-    w = wanted.select(F.col(stem).alias("wanted")).distinct().withColumn("_k", F.substring("wanted", 1, least))
-    hits = w.join(stems.select(F.col(stem).alias("found_stem"), F.substring(stem, 1, least).alias("_k")), "_k", "left").where(F.col("found_stem").isNull() | F.startswith("found_stem", F.col("wanted")))
+    w = wanted.select(F.col(stem).alias("wanted")).distinct()
+    lengths = sorted(r[0] for r in w.select(F.char_length("wanted")).distinct().collect() if r[0] is not None)
+    asked = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length(stem))
+    prefixes = stems.select(F.col(stem).alias("found_stem"), F.explode(asked).alias("n")).select("found_stem", F.expr("substring(found_stem, 1, n)").alias("wanted"))
+    hits = w.join(prefixes, "wanted", "left")
     g = hits.groupBy("wanted").agg(F.max(F.when(F.col("found_stem") == F.col("wanted"), F.col("found_stem"))).alias("exact"), F.count_distinct("found_stem").alias("found"), F.min("found_stem").alias("only"))
     out = g.select("wanted", F.coalesce("exact", F.when(F.col("found") == 1, F.col("only"))).alias("resolved"), "found")
     missing = w.join(out, "wanted", "left_anti").select("wanted", F.lit(None).cast("string").alias("resolved"), F.lit(0).cast("long").alias("found"))

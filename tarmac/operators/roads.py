@@ -66,11 +66,11 @@ def id_ranges(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def interpolate(df: DataFrame, road: str, order: str, columns: Sequence[str]) -> DataFrame:
     """Missing values between two located rows of a road, by position; rows before the first or after the last stay null."""
-    w = Window.partitionBy(road).orderBy(order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # What follows is the last of what stands before in reverse: frames that only grow are read once.
+    before, after = (Window.partitionBy(road).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.col(order).desc()))
     located = F.forall(F.array(*columns), lambda c: c.isNotNull())
     known = F.when(located, F.struct(F.col(order).alias("o"), *columns))
-    both = df.withColumn("_a", F.last(known, ignorenulls=True).over(before)).withColumn("_b", F.first(known, ignorenulls=True).over(after))
+    both = df.withColumn("_a", F.last(known, ignorenulls=True).over(before)).withColumn("_b", F.last(known, ignorenulls=True).over(after))
     share = F.coalesce(F.try_divide(F.col(order) - F.col("_a.o"), F.col("_b.o") - F.col("_a.o")), F.lit(0.0))
     made = [(F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * share).alias(c) for c in columns]
     return both.select(*[c for c in df.columns if c not in columns], *made)
@@ -78,8 +78,8 @@ def interpolate(df: DataFrame, road: str, order: str, columns: Sequence[str]) ->
 
 def next_with(df: DataFrame, road: str, order: str, segment: str, has: Column) -> DataFrame:
     """``df`` with ``next_id``: the next later segment of the road for which ``has`` holds."""
-    w = Window.partitionBy(road).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn("next_id", F.first(F.when(has, F.col(segment)), ignorenulls=True).over(w))
+    w = Window.partitionBy(road).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("next_id", F.last(F.when(has, F.col(segment)), ignorenulls=True).over(w))
 
 
 def dense_numbers(df: DataFrame, value: str, order: Sequence[str], name: str = "number") -> DataFrame:
@@ -96,8 +96,7 @@ def shared_segments(road_positions: DataFrame, segment: str = "segment_id", road
 
 def interleave(df: DataFrame, recording: str, segment: str, labelled: str, widest: int) -> DataFrame:
     """(recording, segment, previous, next): unlabelled segments between labelled ones of their recording that are at most ``widest`` apart."""
-    w = Window.partitionBy(recording).orderBy(segment)
     mark = F.when(F.col(labelled), F.col(segment))
-    back, on = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    both = df.withColumn("previous", F.last(mark, ignorenulls=True).over(back)).withColumn("next", F.first(mark, ignorenulls=True).over(on))
+    back, on = (Window.partitionBy(recording).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col(segment), F.col(segment).desc()))
+    both = df.withColumn("previous", F.last(mark, ignorenulls=True).over(back)).withColumn("next", F.last(mark, ignorenulls=True).over(on))
     return both.where(~F.col(labelled) & (F.col("next") - F.col("previous") <= widest)).select(recording, segment, "previous", "next")

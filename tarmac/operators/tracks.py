@@ -21,9 +21,9 @@ def at_times(points: DataFrame, times: DataFrame, track: str, t: str, columns: l
     """
     known = points.select(track, t, F.struct(F.col(t).alias("t"), *columns).alias("p"), F.lit(0).alias("asked"))
     wanted = times.select(track, t, F.lit(None).cast(known.schema["p"].dataType).alias("p"), F.lit(1).alias("asked")).distinct()
-    w = Window.partitionBy(track).orderBy(t, "asked")
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    both = known.unionByName(wanted).withColumn("a", F.last("p", ignorenulls=True).over(back)).withColumn("b", F.first("p", ignorenulls=True).over(on)).where("asked = 1")
+    orders = [F.col(t), F.col("asked")], [F.col(t).desc(), F.col("asked").desc()]
+    back, on = (Window.partitionBy(track).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in orders)
+    both = known.unionByName(wanted).withColumn("a", F.last("p", ignorenulls=True).over(back)).withColumn("b", F.last("p", ignorenulls=True).over(on)).where("asked = 1")
     a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
     share = F.coalesce(F.try_divide(F.col(t) - a["t"], b["t"] - a["t"]), F.lit(0.0))
     return both.select(track, t, *[(a[c] + (b[c] - a[c]) * share).alias(c) for c in columns])
@@ -36,7 +36,8 @@ def cut(points: DataFrame, cuts: DataFrame, track: str, t: str, columns: list[st
     """
     ends = cuts.select(track, F.explode(F.array("start_s", "end_s")).alias(t))
     edge = at_times(points, ends, track, t, columns)
-    bounds = cuts.join(edge.withColumnRenamed(t, "edge_t"), track).where("edge_t = start_s or edge_t = end_s")
+    both = cuts.withColumn("edge_t", F.explode(F.array_distinct(F.array("start_s", "end_s"))))
+    bounds = both.join(edge.withColumnRenamed(t, "edge_t"), [track, "edge_t"])
     outer = bounds.select(track, "cut_no", (F.col("edge_t") - F.col("start_s")).alias(t), *columns)
     spread = cuts.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_s") / bucket), F.floor(F.col("end_s") / bucket))))
     inner = points.withColumn("_b", F.floor(F.col(t) / bucket)).join(spread, [track, "_b"]).where(f"{t} > start_s and {t} < end_s")
@@ -81,7 +82,7 @@ def every_metres(points: DataFrame, track: str, t: str, step: float) -> DataFram
 
 def cuts_to_segments(times: DataFrame, track: str, t: str, duration: str) -> DataFrame:
     """Cut times of a video as segments [start, end) between 0 and its duration; equal times count once."""
-    inside = F.array_sort(F.array_distinct(F.filter(F.collect_list(t), lambda x: x > 0)))
+    inside = F.array_sort(F.filter(F.collect_set(t), lambda x: x > 0))
     g = times.groupBy(track).agg(inside.alias("cs"), F.max(duration).alias("d"))
     starts = F.concat(F.array(F.lit(0.0)), F.filter("cs", lambda x: x < F.col("d")))
     ends = F.concat(F.filter("cs", lambda x: x < F.col("d")), F.array(F.col("d")))

@@ -66,8 +66,10 @@ def invalid_predictions(spark, sf_dir):
 
 
 def model_errors(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0")
-    return reports.model_errors(o.select("o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 5).alias("seed"), "o_orderstatus"), "o_custkey", "seed", "o_orderstatus").withColumnRenamed("o_custkey", "method")
+    key = F.col("o_orderkey")
+    seed = F.when(key % 97 != 0, F.when(F.col("o_custkey") % 5 == 0, F.lit(1)).otherwise(key % 4))
+    models = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(key / 4).alias("method"), seed.alias("seed"), "o_orderstatus")
+    return reports.model_errors(models, "method", "seed", "o_orderstatus")
 
 
 def neighbours(spark, sf_dir):
@@ -130,7 +132,8 @@ QUERIES = {
     "metric_names": (metric_names, "SELECT r_regionkey, name, base, averaged, min_support FROM region, (VALUES ('amF1_supp10', 'mF1', true, 10), ('A', 'A', false, NULL), ('mIoU', 'mIoU', false, NULL), ('aNLL', 'NLL', true, NULL), ('cBrier', 'cBrier', false, NULL), ('F1_supp', NULL, NULL, NULL), ('', NULL, NULL, NULL), ('xA', NULL, NULL, NULL), ('akappa', 'kappa', true, NULL), ('K_supp30', 'K', false, 30)) v(name, base, averaged, min_support)"),
     "file_names": (file_names, r"WITH n AS (SELECT p_partkey, p_name || ' / ' || p_brand || ' / ' || p_type AS name FROM part), c AS (SELECT *, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS clean FROM n) SELECT p_partkey, CASE WHEN length(clean) > 30 THEN left(clean, 21) || '-' || left(sha256(name), 8) ELSE clean END AS name FROM c"),
     "invalid_predictions": (invalid_predictions, _P + " SELECT attribute, CASE segment_id % 6 WHEN 1 THEN 'size' WHEN 2 THEN 'sum' WHEN 3 THEN 'value' ELSE 'none' END AS reason, count(*) AS n FROM p GROUP BY ALL"),
-    "model_errors": (model_errors, """WITH g AS (SELECT o_custkey AS method, count(*) AS n, count(seed) AS w, count(DISTINCT seed) AS d, count(DISTINCT o_orderstatus) AS s FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 END AS seed FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1),
+    "model_errors": (model_errors, """WITH g AS (SELECT o_orderkey // 4 AS method, count(*) AS n, count(seed) AS w, count(DISTINCT seed) AS d, count(DISTINCT o_orderstatus) AS s
+        FROM (SELECT *, CASE WHEN o_orderkey % 97 <> 0 THEN CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE o_orderkey % 4 END END AS seed FROM orders) GROUP BY 1),
         r AS (SELECT method, CASE WHEN n > 1 AND w < n THEN 'missing seed' WHEN n > 1 AND d < n THEN 'repeated seed' WHEN s > 1 THEN 'different splits' END AS error FROM g) SELECT * FROM r WHERE error IS NOT NULL"""),
     "neighbours": (neighbours, _E + " SELECT c.segment_id AS center, (o.position - c.position)::INT AS offset, o.segment_id, o.event_type FROM e c JOIN e o ON c.road_id = o.road_id AND o.position BETWEEN c.position - 3 AND c.position + 3 AND o.position <> c.position WHERE c.event_type = 'purchase'"),
     "fixed_permutation": (fixed_permutation, "SELECT n_nationkey FROM nation"),

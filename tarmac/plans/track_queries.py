@@ -119,7 +119,7 @@ def method_summary(spark, sf_dir):
 def stem_prefix_join(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("stem"))
     wanted = c.select(F.substring("stem", 1, 17).alias("stem")).distinct().unionByName(c)
-    return archive.resolve_stems(c, wanted, least=16)
+    return archive.resolve_stems(c, wanted)
 
 
 def filter_split(spark, sf_dir):

@@ -151,3 +151,11 @@ def test_stream_counts_each_batch_once(spark, tmp_path):
     assert run() == run() == {(0, 0): 1, (0, 1): 1}
     spark.createDataFrame([("a", 0, 0)], "attribute string, label int, pred int").write.mode("append").parquet(src)
     assert run() == {(0, 0): 2, (0, 1): 1}
+
+
+def test_long_roads_are_read_once(spark):
+    rows = spark.range(200_000).select(F.lit(1).alias("road"), F.col("id").alias("o"), F.when(F.col("id") % 50_000 == 0, F.col("id") * 2.0).alias("x"))
+    made = {r["o"]: r["x"] for r in roads.interpolate(rows, "road", "o", ["x"]).where("o in (0, 1, 75000, 150000, 150001)").collect()}
+    assert made == {0: 0.0, 1: 2.0, 75_000: 150_000.0, 150_000: 300_000.0, 150_001: None}
+    later = roads.next_with(rows, "road", "o", "o", F.col("o") % 50_000 == 0)
+    assert {r["o"]: r["next_id"] for r in later.where("o in (0, 49999, 150000)").collect()} == {0: 50_000, 49_999: 50_000, 150_000: None}
