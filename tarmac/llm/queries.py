@@ -155,7 +155,6 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length('<turn ') + length(role) + length('>') + 1 + length(replace(replace(text, '\', '\b'), '<', '\l')) + length('</turn>') + 1)::BIGINT AS formatted_chars
         FROM m GROUP BY conv_id""",
-    "op5_jaccard": None,
     "op8_urls": r"""
         WITH p AS (SELECT page_id,
                           translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -179,4 +178,3 @@ SQL = {
                sum(CASE WHEN poor THEN m ELSE s END)::BIGINT AS tokens
         FROM c GROUP BY ALL""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
