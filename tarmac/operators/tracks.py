@@ -87,3 +87,15 @@ def cuts_to_segments(times: DataFrame, track: str, t: str, duration: str) -> Dat
     starts = F.concat(F.array(F.lit(0.0)), F.filter("cs", lambda x: x < F.col("d")))
     ends = F.concat(F.filter("cs", lambda x: x < F.col("d")), F.array(F.col("d")))
     return g.select(track, F.posexplode(F.arrays_zip(starts.alias("start_s"), ends.alias("end_s"))).alias("cut_no", "s")).select(track, "cut_no", "s.*")
+
+
+def course(points: DataFrame, track: str, t: str, east: str, north: str) -> DataFrame:
+    """``points`` with ``course``, the way's angle from east, counter-clockwise in radians; the last point repeats it, a lone one has none."""
+    w = Window.partitionBy(track).orderBy(t)
+    ahead = points.withColumn("_c", F.atan2(F.lead(north).over(w) - F.col(north), F.lead(east).over(w) - F.col(east)))
+    return ahead.withColumn("course", F.coalesce("_c", F.lag("_c").over(w))).drop("_c")
+
+
+def sampling_rate(points: DataFrame, track: str, t: str) -> DataFrame:
+    """(track, rate): steps for each second between the first and the last time; null without a duration."""
+    return points.groupBy(track).agg(F.try_divide(F.count(t) - 1, F.max(t) - F.min(t)).alias("rate"))
