@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The files of a metadata folder and the types of their entries.
+# The files of a metadata folder and the types of their entries, and the two fields of its vocabulary.
 FILES = {
     "splits": ("splits.json", "array<string>"),
     "data_paths": ("segment_id_to_data_paths_rel.json", "map<string,string>"),
@@ -15,6 +15,7 @@ FILES = {
     "roads": ("road_id_to_segment_id_sequence.json", "array<string>"),
 }
 ATTRIBUTES = "attribute_metadata.json"
+PLACES, CODES = "attribute_to_idx", "attribute_value_to_irap_number"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -36,10 +37,9 @@ def read_object(spark: SparkSession, path: str, value: str = "string", optional:
 
 def read_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """(attribute, place, class_idx, code, value): attributes by their index, classes in the file's order."""
-    shape = "attribute_to_idx map<string,int>, attribute_value_to_irap_number map<string,map<string,int>>"
-    whole = spark.read.text(str(PurePosixPath(folder) / ATTRIBUTES), wholetext=True).select(F.from_json("value", shape, {"mode": "FAILFAST"}).alias("m")).select("m.*")
-    each = whole.select(F.posexplode(F.array_sort(F.transform(F.map_entries("attribute_to_idx"), lambda e: F.struct(e["value"], e["key"].alias("attribute"))))).alias("place", "a"), "attribute_value_to_irap_number")
-    classes = F.posexplode(F.map_entries(F.element_at("attribute_value_to_irap_number", F.col("a.attribute")))).alias("class_idx", "c")
+    whole = spark.read.text(str(PurePosixPath(folder) / ATTRIBUTES), wholetext=True).select(F.from_json("value", f"{PLACES} map<string,int>, {CODES} map<string,map<string,int>>", {"mode": "FAILFAST"}).alias("m")).select("m.*")
+    each = whole.select(F.posexplode(F.array_sort(F.transform(F.map_entries(PLACES), lambda e: F.struct(e["value"], e["key"].alias("attribute"))))).alias("place", "a"), CODES)
+    classes = F.posexplode(F.map_entries(F.element_at(CODES, F.col("a.attribute")))).alias("class_idx", "c")
     return each.select(F.col("a.attribute").alias("attribute"), "place", classes).select("attribute", "place", "class_idx", F.col("c.value").alias("code"), F.col("c.key").alias("value"))
 
 
