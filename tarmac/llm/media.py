@@ -47,9 +47,14 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """Bin of the loudest frequency of every band, by frame: short-time Fourier transforms of all samples, in blocks."""
+    """Bin of the loudest frequency of every band, by frame: short-time Fourier transforms of all samples, in blocks.
+
+    Samples of too few frames for a pair are followed by silence, so that each frame with a sample has its later frames.
+    """
     x = np.frombuffer(samples, np.uint8)
-    frames = max(1, -(-(len(x) - FRAME) // HOP) + 1) if len(x) > FRAME else 1
+    frames = max(1, -(-(len(x) - FRAME) // HOP) + 1)
+    if frames <= max(STEPS):
+        frames = -(-len(x) // HOP) + max(STEPS)
     x = np.concatenate((x, np.full((frames - 1) * HOP + FRAME - len(x), 128, np.uint8)))
     out = np.empty((frames, BANDS), np.int64)
     width = (FRAME // 2) // BANDS
@@ -67,13 +72,12 @@ def fingerprint(samples: bytes) -> np.ndarray:
     """Time-coded pairs of peaks: frame number in the upper 32 bits, below it the first bin, the second bin and their distance in hops."""
     bins = peaks(samples)
     made = []
-    frames = np.arange(len(bins), dtype=np.int64)
     for step in STEPS:
+        frames = np.arange(min(len(bins) - step, -(-len(samples) // HOP)), dtype=np.int64)
         for a in range(BANDS):
             for b in range(BANDS):
-                if len(bins) > step:
-                    made.append((frames[:-step] << 32) | (bins[:-step, a] << 16) | (bins[step:, b] << 4) | step)
-    return np.sort(np.concatenate(made)) if made else np.zeros(0, np.int64)
+                made.append((frames << 32) | (bins[frames, a] << 16) | (bins[frames + step, b] << 4) | step)
+    return np.sort(np.concatenate(made))
 
 
 def with_media(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -70,8 +70,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.with_media(_table(spark, sf_dir, "documents")).select("row.doc_id", "n_bytes", "media")
-    done = media.media_features(stored, keep=("doc_id", "n_bytes"), with_fingerprint=False)
-    return done.select("row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    done = media.media_features(stored, keep=("doc_id", "n_bytes"))
+    return done.select("row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fingerprint")
 
 
 #: The rules of the URL query: host, path and verdict.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import cmath
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -212,6 +214,43 @@ def test_media_round_trip(spark, odd):
         assert r["n_bytes"] == len(raw) and r["payload_sha256"] == hashlib.sha256(padded).hexdigest()
 
 
+def _slow_pairs(samples):
+    """Peak pairs by plain sums over each frame, one frequency at a time."""
+    frames = [samples[at : at + 256] for at in range(0, max(len(samples) - 256, 0) + 32, 32)]
+    if len(samples) > 256 and (len(samples) - 256) % 32 == 0:
+        frames = frames[: (len(samples) - 256) // 32 + 1]
+    if len(frames) <= 12:
+        frames = [samples[at : at + 256] for at in range(0, len(samples) + 12 * 32, 32)]
+        frames = frames[: -(-len(samples) // 32) + 12]
+    bins = []
+    for frame in frames:
+        x = [(v - 128) * (0.5 - 0.5 * math.cos(2 * math.pi * i / 255)) for i, v in enumerate(frame)]
+        loud = {k: round(abs(sum(v * cmath.exp(-2j * math.pi * k * i / 256) for i, v in enumerate(x))), 3) for k in range(1, 129)}
+        bins.append([max(range(lo, lo + 64), key=lambda k: (loud[k], -k)) for lo in (1, 65)])
+    held = -(-len(samples) // 32)
+    return sorted((t << 32) | (a << 16) | (b << 4) | step for step in (8, 12) for t in range(min(len(bins) - step, held)) for a in bins[t] for b in bins[t + step])
+
+
+def test_fingerprints_equal_plain_sums():
+    rng = np.random.RandomState(5)
+    for n in (64, 128, 448, 576, 640, 1024):
+        samples = rng.randint(0, 256, n).astype(np.uint8).tobytes()
+        assert media.fingerprint(samples).tolist() == _slow_pairs(samples), n
+
+
+def test_features_of_short_texts_differ(spark):
+    rng = np.random.RandomState(6)
+    texts = ["".join(rng.choice(list("etaoin shrdlu"), n)) for n in rng.randint(5, 480, 300)]
+    stored = media.with_media(spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "doc_id long, text string"))
+    got = [(r["row"]["doc_id"], r["feature"]) for r in media.media_features(stored.select("row.doc_id", "media")).collect()]
+    assert len(got) == 600 and len(set(got)) == 300
+    # Texts of a frame or two have few peaks, so some of them share a feature; longer ones don't.
+    longer = [i for i, t in enumerate(texts) if len(t) > 128]
+    assert len({f for i, f in got if i in longer}) == len(longer)
+    assert len({f for _, f in got}) >= 270
+    assert all(f.split(":")[0] != "0" for _, f in got)
+
+
 def test_fingerprints_find_a_part(spark):
     rng = np.random.RandomState(0)
     whole = rng.randint(0, 256, 256 * 40).astype(np.uint8).tobytes()
