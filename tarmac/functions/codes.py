@@ -64,3 +64,8 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     for name, rule in rules:
         out = F.when(rule, name) if out is None else out.when(rule, name)
     return out
+
+
+def is_genuine(code: Column) -> Column:
+    """Whether a code was given: neither null nor -1, which marks a missing one."""
+    return code.isNotNull() & (code != -1)

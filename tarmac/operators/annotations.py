@@ -133,3 +133,11 @@ def list_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumn("_d", F.lit(-1)).unionByName(new.withColumn("_d", F.lit(1)))
     sums = both.groupBy(*old.columns).agg(F.sum("_d").alias("_d")).where("_d <> 0")
     return sums.select(*old.columns, F.when(F.col("_d") < 0, "removed").otherwise("added").alias("kind"), F.abs("_d").alias("n"))
+
+
+def sibling_centroids(df: DataFrame, recording: str, labelled: Column, columns: Sequence[str]) -> DataFrame:
+    """The unlabelled rows, with the medians of the labelled rows of their recording (null without any) in place of the columns."""
+    medians = df.where(labelled).groupBy(F.col(recording).alias("_recording")).agg(*[F.median(c).alias(f"_{c}") for c in columns])
+    open_ = df.where(~F.coalesce(labelled, F.lit(False))).drop(*columns)
+    told = open_.join(medians, F.col(recording) == F.col("_recording"), "left")
+    return told.select(*open_.columns, *[F.col(f"_{c}").alias(c) for c in columns])

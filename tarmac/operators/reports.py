@@ -95,3 +95,17 @@ def rows_with_images(rows: DataFrame, images: DataFrame, key: str) -> DataFrame:
     joined = rows.join(g, key, "left")
     state = F.when(F.col("images").isNull(), "missing").when(F.col("images") > 1, "ambiguous").otherwise("matched")
     return joined.withColumn("state", state).withColumn("path", F.when(F.col("images") == 1, F.col("path"))).drop("images")
+
+
+def images_without_rows(images: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The images that no row names; those without a key are kept, as nothing can name them."""
+    return images.join(rows.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def to_wide_intervals(df: DataFrame, row: str, column: str, names: Sequence[str], value: str, low: str, high: str) -> DataFrame:
+    """One row per ``row`` with a column for each of the names and two more, ``<name>_low`` and ``<name>_high``, for its interval."""
+    made = []
+    for name in names:
+        own = F.col(column) == name
+        made += [F.max(F.when(own, F.col(c))).alias(name + end) for c, end in ((value, ""), (low, "_low"), (high, "_high"))]
+    return df.groupBy(row).agg(*made)

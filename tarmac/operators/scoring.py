@@ -123,3 +123,9 @@ def better_method(low: Column, high: Column, lower_is_better: bool = False) -> C
     """``a`` or ``b`` if the interval of a - b leaves out 0, else null."""
     first, second = ("b", "a") if lower_is_better else ("a", "b")
     return F.when(low > 0, F.lit(first)).when(high < 0, F.lit(second))
+
+
+def masked_mean(df: DataFrame, keys: Sequence[str], value: str, mask: Column) -> DataFrame:
+    """Mean of the defined values where the mask holds, null if there are none, and their number."""
+    defined = mask & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.groupBy(*keys).agg(F.avg(F.when(defined, F.col(value).cast("double"))).alias("mean"), F.count(F.when(defined, F.lit(1))).alias("n_defined"))

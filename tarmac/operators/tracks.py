@@ -99,3 +99,9 @@ def course(points: DataFrame, track: str, t: str, east: str, north: str) -> Data
 def sampling_rate(points: DataFrame, track: str, t: str) -> DataFrame:
     """(track, rate): steps for each second between the first and the last time; null without a duration."""
     return points.groupBy(track).agg(F.try_divide(F.count(t) - 1, F.max(t) - F.min(t)).alias("rate"))
+
+
+def from_zero(points: DataFrame, track: str, t: str) -> DataFrame:
+    """Times of each track counted from its first point."""
+    first = points.groupBy(F.col(track).alias("_track")).agg(F.min(t).alias("_first"))
+    return points.join(first, F.col(track).eqNullSafe(F.col("_track"))).withColumn(t, F.col(t) - F.col("_first")).drop("_track", "_first")
