@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, chat, decontaminate, html_text, jaccard_join, langid, media, substring_dedup, token_counts, url_filter
+from tarmac.llm import bpe, chat, decontaminate, html_text, jaccard_join, langid, media, merkle, substring_dedup, token_counts, url_filter
 from tarmac.llm.common import shared_dir, written
 
 
@@ -109,6 +109,19 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "text", "n_sentences", "n_removed")
 
 
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """The manifest's columns; half of the rows, by the CRC of their ids, are altered: their texts lose all line feeds."""
+    cut = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = {"text": F.when(cut, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    folded = merkle.fold(F.col("altered_leaf"), F.col("path"))
+    made = merkle.manifest(docs, altered=altered).select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,6 +139,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_token_counts": op9_token_counts,
     "op10_substrings": op10_substrings,
+    "op11_merkle": op11_merkle,
     "pipeline": pipeline,
 }
 
