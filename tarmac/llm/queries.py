@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, chat, decontaminate, html_text, jaccard_join, langid, media, merkle, substring_dedup, token_counts, url_filter
+from tarmac.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard_join, langid, media, merkle, substring_dedup, token_counts, url_filter
 from tarmac.llm.common import shared_dir, written
 
 
@@ -122,6 +122,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,6 +146,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_substrings": op10_substrings,
     "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -192,3 +199,55 @@ SQL = {
                sum(CASE WHEN poor THEN m ELSE s END)::BIGINT AS tokens
         FROM c GROUP BY ALL""",
 }
+
+
+def _told(column: str) -> str:
+    """DuckDB SQL of a value in a leaf: ``-`` if null, else its UTF-8 bytes, a colon and the value."""
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_told(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of a decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+              lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384))), 4294967295)"""
+
+SQL["op11_merkle"] = rf"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, coalesce('=' || source, '-') AS g, {_leaf("text")} AS leaf,
+               {_leaf(f"(CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS altered,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+        FROM documents),
+    low AS (SELECT 0 AS lvl, g, i, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM leaves
+            UNION ALL
+            SELECT lvl + 1, g, i // 3, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY lvl, g, i // 3),
+    subs AS (SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM low WHERE n = 1),
+    high AS (SELECT 0 AS lvl, i, subroot AS node, count(*) OVER () AS n FROM subs
+             UNION ALL
+             SELECT lvl + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY lvl, i // 3),
+    -- a node's siblings: those of its run, to its left and to its right
+    low_s AS (SELECT a.lvl, a.g, a.i, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+              FROM low a JOIN low b ON a.lvl = b.lvl AND a.g = b.g AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+    high_s AS (SELECT a.lvl, a.i, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+               FROM high a JOIN high b ON a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+    powers AS (SELECT k, (3 ** k)::BIGINT AS p FROM generate_series(0, 30) t(k)),
+    steps AS (SELECT f.g, f.i, s.lvl, s.l, s.r FROM leaves f, powers JOIN low_s s ON s.lvl = k AND s.g = f.g AND s.i = f.i // p
+              UNION ALL
+              SELECT f.g, f.i, 100 + s.lvl, s.l, s.r FROM leaves f JOIN subs USING (g), powers JOIN high_s s ON s.lvl = k AND s.i = subs.i // p),
+    paths AS (SELECT g, i, list(l || '|' || r ORDER BY lvl) AS path, string_agg(l || r, '' ORDER BY lvl) AS proof FROM steps GROUP BY g, i),
+    done AS (SELECT doc_id, leaf, subroot, (SELECT node FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+                    list_reduce(list_prepend(altered, coalesce(path, [])), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root
+             FROM leaves JOIN subs USING (g) LEFT JOIN paths ON paths.g = leaves.g AND paths.i = leaves.i)
+    SELECT *, folded_root = root AS verified FROM done"""
+
+SQL["op12_hard_negatives"] = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3"""
