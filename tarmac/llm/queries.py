@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard_join, langid, media, merkle, substring_dedup, token_counts, url_filter
+from tarmac.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard_join, langid, lm_score, media, merkle, substring_dedup, token_counts, url_filter
 from tarmac.llm.common import shared_dir, written
 
 
@@ -128,6 +128,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    done = lm_score.score_texts(_table(spark, sf_dir, "documents"), held_out)
+    return done.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -147,6 +153,7 @@ QUERIES = {
     "op10_substrings": op10_substrings,
     "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_lm_score": op13_lm_score,
     "pipeline": pipeline,
 }
 
