@@ -201,7 +201,8 @@ class Batch:
         for (_, at), x in zip(self.asked(), got, strict=True):
             codes = np.frombuffer(x["codes"], np.uint16)
             logs[at] = np.where(codes == NONE, logs[at], -STEP * codes.astype(float))
-            ids[at], ns[at] = unpack(x["ids"]), unpack(x["counts"])
+            if x["ids"] is not None:  # of the highest order only the codes matter
+                ids[at], ns[at] = unpack(x["ids"]), unpack(x["counts"])
         self.of, self.ids, self.ns, self.logs = self.pair_of, ids, ns, logs
 
 
@@ -254,7 +255,7 @@ def _level(state: DataFrame, totals: dict, done: int, shards: int, last: bool) -
             out["codes"].append(codes.tobytes())
             out["ids"].append(None if last else pack(np.where(there, at * shards + (s + BEGIN + 1), 0)))
             out["counts"].append(None if last else pack(counts))
-        return pa.table(out, schema=to_arrow_schema(T._parse_datatype_string(_ANSWER)))
+        return pa.table(out, schema=pa.schema([("b", pa.int64()), ("s", pa.int64()), *[(c, pa.binary()) for c in ("codes", "ids", "counts")]]))
 
     sent = state.select("b", "docs", "tokens", "ids", "ns", *(["gots"] if done else [])).mapInArrow(asked, "b long, s long, " + ", ".join(f"{c} binary" for c in _SENT))
     return sent.groupBy("s").applyInArrow(answered, _ANSWER)
