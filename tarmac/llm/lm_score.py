@@ -26,20 +26,27 @@ ORDER, LOWER, UNSEEN = 2, 20.0, 0.1
 #: A code is a logarithm to base 10 in these steps; the last code is that of an n-gram that isn't there.
 STEP, NONE = 1 / 3000, 65535
 #: Bytes of text of a batch, tokens of a shard, and occurrences of a context beyond which its words are dealt out to several shards.
-BATCH_BYTES, SHARD_TOKENS, HOT = 6 << 20, 3_000_000, 200_000
+BATCH_BYTES, SHARD_TOKENS, HOT = 6 << 20, 1_500_000, 200_000
 #: Hash of the end of a text, and id of its beginning; ids of words and n-grams follow.
 END, BEGIN = np.uint64(0x2D358DCCAA6C78A5), 1
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers in the fewest bytes that hold the largest."""
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Unsigned integers, or the steps between ascending ones, in the fewest bytes that hold the largest, compressed byte by byte."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if ascending else values
     top = int(values.max()) if len(values) else 0
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+    raw = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+    head = np.array([np.dtype(kind).itemsize, len(values)], np.uint32).tobytes()
+    packed = pa.compress(raw, "zstd", asbytes=True) if len(raw) > 256 else raw
+    return head + (packed if len(packed) < len(raw) else raw)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+def unpack(data: bytes, ascending: bool = False) -> np.ndarray:
+    size, n = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+    raw = data[8:] if len(data) - 8 == size * n else pa.decompress(data[8:], size * n, "zstd", asbytes=True)
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(f"<u{size}") if n else np.zeros(0, f"<u{size}")
+    return np.cumsum(values.astype(np.uint64), dtype=np.uint64) if ascending else values
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
@@ -66,7 +73,7 @@ def _tokens(docs: DataFrame, text_col: str, held_out: Column, keep: tuple[str, .
         held = [rows.column("row").combine_chunks(), rows.column("held_out").combine_chunks(), pa.array(n, pa.int64())]
         structs = pa.StructArray.from_arrays(held, fields=list(arrow.field("docs").type.value_type))
         column = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs).cast(arrow.field("docs").type)
-        values = [[b], column, [pack(place)], [words.tobytes()], [pack(counts)], [int(n[train].sum())], [int(train.sum())]]
+        values = [[b], column, [pack(place)], [pack(words, True)], [pack(counts)], [int(n[train].sum())], [int(train.sum())]]
         return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
     def run(batches):
@@ -107,13 +114,13 @@ def _vocabulary(state: DataFrame, shards: int) -> DataFrame:
     def asked(batches):
         for batch in batches:
             for b, words, counts in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                words, counts = np.frombuffer(words, np.uint64), unpack(counts)
+                words, counts = unpack(words, True), unpack(counts)
                 parts = list(_split(_word_shards(words, shards)))
-                yield pa.RecordBatch.from_pydict({"b": [b] * len(parts), "s": [s for s, _ in parts], "words": [words[at].tobytes() for _, at in parts], "counts": [pack(counts[at]) for _, at in parts]})
+                yield pa.RecordBatch.from_pydict({"b": [b] * len(parts), "s": [s for s, _ in parts], "words": [pack(words[at], True) for _, at in parts], "counts": [pack(counts[at]) for _, at in parts]})
 
     def answered(table: pa.Table) -> pa.Table:
         s = table.column("s")[0].as_py()
-        asked_for = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        asked_for = [unpack(w, True) for w in table.column("words").to_pylist()]
         words, place = np.unique(np.concatenate(asked_for), return_inverse=True)
         counts = np.zeros(len(words), np.int64)
         np.add.at(counts, place, np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64))
@@ -147,7 +154,7 @@ def _with_ids(state: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             ids, ns, fresh = [], [], []
             for words, got in zip(batch.column("words").to_pylist(), batch.column("got").to_pylist(), strict=True):
-                words, got = np.frombuffer(words, np.uint64), got or []
+                words, got = unpack(words, True), got or []
                 own = [np.zeros(len(words), np.int64) for _ in range(2)]
                 for (_, at), x in zip(_split(_word_shards(words, shards)), got, strict=True):
                     own[0][at], own[1][at] = unpack(x["ids"]), unpack(x["counts"])
@@ -199,7 +206,7 @@ class Batch:
         logs = self.lower + np.log10(LOWER / (self.context_n + LOWER))
         ids, ns = np.zeros(len(logs), np.int64), np.zeros(len(logs), np.int64)
         for (_, at), x in zip(self.asked(), got, strict=True):
-            codes = np.frombuffer(x["codes"], np.uint16)
+            codes = unpack(x["codes"])
             logs[at] = np.where(codes == NONE, logs[at], -STEP * codes.astype(float))
             if x["ids"] is not None:  # of the highest order only the codes matter
                 ids[at], ns[at] = unpack(x["ids"]), unpack(x["counts"])
@@ -230,11 +237,11 @@ def _level(state: DataFrame, totals: dict, done: int, shards: int, last: bool) -
                     fresh = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
                     lengths = np.diff(np.append(fresh, len(at)))
                     values = (context[fresh], lengths, x.context_n[at][fresh], x.pair_word[at], x.counts[at], quantised(x.lower[at]))
-                    yield pa.RecordBatch.from_pydict({"b": [b], "s": [s]} | {c: [pack(v)] for c, v in zip(_SENT, values, strict=True)})
+                    yield pa.RecordBatch.from_pydict({"b": [b], "s": [s]} | {c: [pack(v, c == "contexts")] for c, v in zip(_SENT, values, strict=True)})
 
     def answered(table: pa.Table) -> pa.Table:
         s = table.column("s")[0].as_py()
-        rows = [dict(zip(_SENT, (unpack(v) for v in r), strict=True)) for r in zip(*[table.column(c).to_pylist() for c in _SENT], strict=True)]
+        rows = [{c: unpack(v, c == "contexts") for c, v in zip(_SENT, r, strict=True)} for r in zip(*[table.column(c).to_pylist() for c in _SENT], strict=True)]
         asked_for = [(np.repeat(r["contexts"], r["lengths"]).astype(np.int64), r["followers"].astype(np.int64)) for r in rows]
         context, word = (np.concatenate([x[i] for x in asked_for]) for i in range(2))
         count = np.concatenate([r["counts"] for r in rows]).astype(np.int64)
@@ -252,7 +259,7 @@ def _level(state: DataFrame, totals: dict, done: int, shards: int, last: bool) -
             there = at >= 0
             codes, counts = np.full(len(at), NONE, np.uint16), np.zeros(len(at), np.int64)
             codes[there], counts[there] = trie.codes[at[there]], trie.counts[at[there]]
-            out["codes"].append(codes.tobytes())
+            out["codes"].append(pack(codes))
             out["ids"].append(None if last else pack(np.where(there, at * shards + (s + BEGIN + 1), 0)))
             out["counts"].append(None if last else pack(counts))
         return pa.table(out, schema=pa.schema([("b", pa.int64()), ("s", pa.int64()), *[(c, pa.binary()) for c in ("codes", "ids", "counts")]]))
@@ -284,7 +291,7 @@ def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", keep:
     first = written(_tokens(docs, text_col, held_out, keep))
     sums = first.agg(F.sum("train").alias("tokens"), F.sum("train_docs").alias("docs"), F.sum(F.octet_length("words")).alias("bytes"), F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda a, d: a + d["n"])).alias("all")).first()
     least = docs.sparkSession.sparkContext.defaultParallelism
-    state = written(_with_ids(first, max(least, (sums["bytes"] or 0) // (8 * SHARD_TOKENS) + 1)))
+    state = written(_with_ids(first, max(least, (sums["bytes"] or 0) // (4 * SHARD_TOKENS) + 1)))
     discard(first)
     fresh = state.agg(F.sum("fresh")).first()[0] or 0
     totals = {"tokens": sums["tokens"] or 0, "docs": sums["docs"] or 0, "words": fresh}
