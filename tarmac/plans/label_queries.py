@@ -64,7 +64,7 @@ def segment_locations(spark, sf_dir):
     return rounded(at)
 
 
-def images_without_rows(spark, sf_dir):
+def unlabelled_orders(spark, sf_dir):
     images = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"))
     return images.join(_t(spark, sf_dir, "lineitem").where("l_linenumber >= 4").select(F.col("l_orderkey").alias("segment")), "segment", "left_anti")
 
@@ -150,7 +150,7 @@ QUERIES = {
     "unlabeled_splits": (unlabeled_splits, "SELECT 'unlabeled_' || o_orderpriority AS split, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IS NOT NULL GROUP BY 1"),
     "segment_locations": (segment_locations, """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN user_id::VARCHAR END AS section, round(CASE event_id % 3 WHEN 0 THEN 1000 * value WHEN 1 THEN 1000 * value::DECIMAL(18,4)::DOUBLE END, 6) AS distance_m,
         CASE event_id % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 250.0 END::DOUBLE AS length_m, CASE event_id % 3 WHEN 0 THEN 45.5 WHEN 1 THEN 44.0 END::DOUBLE AS lat, CASE event_id % 3 WHEN 0 THEN 16.5 WHEN 1 THEN 15.0 END::DOUBLE AS lon FROM events"""),
-    "images_without_rows": (images_without_rows, "SELECT o_orderkey AS segment FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 4)"),
+    "unlabelled_orders": (unlabelled_orders, "SELECT o_orderkey AS segment FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 4)"),
     "first_codes": (first_codes, _M + " SELECT attribute, array_to_string(expected, ' ') AS codes FROM f"),
     "differing_codes": (differing_codes, _M + " SELECT attribute, count(*) AS n, min(member) AS first_member FROM m JOIN f USING (attribute) WHERE list_sort(list_distinct(codes)) <> list_sort(list_distinct(expected)) GROUP BY attribute"),
     "macro_prf": (macro_prf, _P + """, s AS (SELECT attribute, label AS code, 1 AS s, 0 AS q, (label = pred)::INT AS t FROM p WHERE label IS NOT NULL UNION ALL SELECT attribute, pred, 0, 1, 0 FROM p WHERE label IS NOT NULL),

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.plans import annotation_queries, label_queries, method_queries, report_queries, road_queries, scoring_queries, table_queries, track_queries
+from tarmac.plans import annotation_queries, bootstrap_queries, label_queries, method_queries, report_queries, road_queries, scoring_queries, table_queries, track_queries
 
 FLAGSHIP = "attribute_metrics"
 
-_MODULES = (scoring_queries, road_queries, annotation_queries, track_queries, report_queries, method_queries, label_queries, table_queries)
+_MODULES = (scoring_queries, road_queries, annotation_queries, track_queries, report_queries, method_queries, label_queries, table_queries, bootstrap_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query, as a function of a session and the folder of the tables."""
+    names = [name for m in _MODULES for name in m.QUERIES]
+    if twice := {n for n in names if names.count(n) > 1}:
+        raise ValueError(f"two queries of one name: {sorted(twice)}")
     return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 

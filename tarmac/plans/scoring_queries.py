@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions import arrays
-from tarmac.operators import ensembles, scoring
+from tarmac.operators import bootstrap, ensembles, scoring
 
 #: Stand-ins of attributes: first component of the logits of each.
 ATTRIBUTES = {"surface": 0, "width": 10, "curve": 20}
@@ -99,14 +99,9 @@ def outcome_matrix(spark, sf_dir):
     return scoring.confusion_cells(_with_invalid(spark, sf_dir), ["attribute"]).select("attribute", "label", F.coalesce("pred", F.lit(-1)).alias("outcome"), "n")
 
 
-def _weights(spark):
-    """Weights of 50 resamples, by arithmetic: (resample, sequence_id, weight)."""
-    return spark.range(1000).select((F.col("id") / 20).cast("long").alias("resample"), (F.col("id") % 20).alias("sequence_id")).withColumn("weight", (F.col("resample") * 7 + F.col("sequence_id") * 13 + F.col("resample") * F.col("sequence_id")) % 4)
-
-
 def _resampled(spark, sf_dir):
     cells = scoring.confusion_cells(predictions(spark, sf_dir), ["attribute", "sequence_id"])
-    drawn = scoring.weighted_cells(cells, _weights(spark), ["attribute"])
+    drawn = scoring.weighted_cells(cells, bootstrap.group_weights(cells, "sequence_id", 50), ["attribute"])
     return scoring.attribute_metrics(scoring.class_metrics(drawn, ["resample", "attribute"]), ["resample", "attribute"]).select("resample", "attribute", "accuracy")
 
 
@@ -156,7 +151,7 @@ _METRICS = """SELECT attribute, sum(predicted)::BIGINT AS n, round(sum(tp) / sum
     round(avg(pr), 6) AS mp, round(avg(re), 6) AS mr, round(avg(f), 6) AS mf1, round(avg(iou), 6) AS miou FROM scored GROUP BY attribute"""
 _SUMS = _P + """, sums AS (SELECT attribute, label, count(*) AS support, sum(-ln(probs[label + 1])) AS nll,
     sum(1 - 2 * probs[label + 1] + list_sum(list_transform(probs, lambda x: x * x))) AS brier FROM p WHERE label IS NOT NULL GROUP BY ALL)"""
-_RESAMPLED = _P + """, w AS (SELECT r AS resample, s AS sequence_id, (r * 7 + s * 13 + r * s) % 4 AS weight FROM range(50) t(r), range(20) u(s)),
+_RESAMPLED = _P + """, w AS (""" + bootstrap.group_weights_sql("p", "sequence_id", 50) + """),
     res AS (SELECT resample, attribute, sum(CASE WHEN label = pred THEN weight ELSE 0 END) / sum(weight) AS accuracy
             FROM p JOIN w USING (sequence_id) WHERE label IS NOT NULL AND weight > 0 GROUP BY ALL)"""
 
