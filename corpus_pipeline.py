@@ -30,22 +30,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group of near duplicates, that with the smallest id (null last), text key and other columns.
 
     Rows are told apart by id and text, so copies under one id or without an id go too, and another text under the id of
-    a copy stays. Rows without shingles stand alone and stay.
+    a copy stays. Of rows equal in both, the first by the JSON of their other columns stays, whatever types these have.
+    Rows without shingles (null and blank texts) stand alone and stay. No name of a column matters but doc_id and text.
     """
     rows = written(jaccard_join.labelled_rows(docs).where("label is not null").groupBy("id", "tk", "label").agg(F.count(F.lit(1)).alias("copies")))
     key = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tk")
     least = rows.groupBy(F.col("label").alias("l2")).agg(F.min(key).alias("least"))
     marked = rows.join(least, F.col("label") == F.col("l2")).withColumn("gone", ~key.eqNullSafe(F.col("least")))
-    marks = marked.where("gone or copies > 1").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.col("gone").alias("_gone"))
-    mine = (F.xxhash64("text") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    # Most rows have no mark and pass; of rows equal in id and text, the least is found by partial aggregates.
-    told = docs.join(marks, mine, "left")
-    equal = told.where("not _gone").groupBy("_id", "_tk").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return told.where("_gone is null").select(*docs.columns).unionByName(equal)
+    marks = marked.where("gone or copies > 1").select(F.col("id").alias("mark_id"), F.col("tk").alias("mark_tk"), "gone")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), F.struct(*others).alias("others"))
+    # Most rows have no mark and pass; of rows equal in id and text, one is found by partial aggregates.
+    told = packed.join(marks, (F.col("tk") == F.col("mark_tk")) & F.col("id").eqNullSafe(F.col("mark_id")), "left")
+    equal = told.where("not gone").groupBy("mark_id", "mark_tk").agg(F.min_by("row", F.to_json("others")).alias("row"))
+    return told.where("gone is null").select("row.*").unionByName(equal.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated runs of sentences out of all but their first document; documents of which nothing is left go."""
+    """Takes repeated runs of sentences out of all but their first document; documents of which nothing is left go.
+
+    Null and blank texts have no sentences and stay. Where a text changes, n_chars, if there is such a column, follows it.
+    """
     done = substring_dedup.remove_repeats(docs, keep=tuple(docs.columns))
     kept = done.where((F.col("n_removed") == 0) | (F.col("text") != ""))
     changed = F.col("n_removed") > 0
@@ -54,15 +60,27 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item; null texts hold none and stay."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
     return found.where("n_hit = 0").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokenised corpus: ids of every whole text, with digests of the ids and of the decoded text."""
-    keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids"))
-    return bpe.round_trip(docs, tokenizer_path(), keep=keep, with_ids=True).select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    """The tokenised corpus: all columns, and the ids of every whole text, with digests of the ids and of the decoded text.
+
+    A null text has no ids. A column that has the name of a new one, in any case, gets ``input_`` before it.
+    """
+    new = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    done = bpe.round_trip(docs, tokenizer_path(), keep=tuple(docs.columns), with_ids=True)
+    taken = {*new, *(c.lower() for c in docs.columns)}
+    kept = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in new or name != c and name.lower() in taken:
+            name = f"input_{name}"
+        taken.add(name.lower())
+        kept.append(F.col(f"row.`{c}`").alias(name))
+    return done.select(*kept, *new)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
