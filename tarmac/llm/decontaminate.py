@@ -1,9 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows scans every text once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items scans every text once.
+
+Words are characters of the automaton. Items are cut into pieces of about half a window, so any window holds a whole piece;
+a hit of a piece is extended word by word in both directions. So a benchmark word costs the automaton one node, not one for
+each window that it stands in.
+"""
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -15,8 +21,9 @@ from tarmac.llm.common import add_columns
 
 #: Words of one window.
 WINDOW = 10
-#: Bytes of window text in one automaton (about 80 bytes of memory each in a Python worker); more windows make more blocks.
-BLOCK_BYTES = 1_000_000
+#: Bytes of normalised items in one automaton (measured: about 70 bytes of a worker's memory each, at most 1,000,000
+#: distinct words, which have a character each); more text makes more blocks, and every block scans the texts.
+BLOCK_BYTES = 2_000_000
 
 #: Byte map of the normal form: digits, a-z and bytes above 0x7F stay, A-Z become lower case, all others separate words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -27,42 +34,80 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def _windows(words: list[bytes], size: int) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
-
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """Distinct (window, item) of all items; an item of fewer words, but not none, is one window."""
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Distinct (item, words) of all items that have words, in normal form with single spaces."""
 
     def compute(texts):
-        return [[[w.decode("utf-8") for w in _windows(normal_words(t), size)] if t else [] for t in texts.to_pylist()]]
-
-    made = add_columns(benchmark, [text_col], compute, [T.StructField("windows", T.ArrayType(T.StringType()))], [id_col])
-    return made.select(F.explode("windows").alias("window"), F.col(f"row.`{id_col}`").cast("string").alias("item")).distinct()
-
-
-def _automaton(pairs: list[tuple[str, str | None]]):
-    """The automaton of a block's windows as byte strings between spaces, and the items of each window."""
-    items: dict[str, list[str]] = {}
-    for window, item in pairs:
-        items.setdefault(window, []).extend([] if item is None else [item])
-    machine = ahocorasick.Automaton()
-    for i, window in enumerate(items):
-        machine.add_word(f" {window} ".encode().decode("latin-1"), (window.count(" ") + 1, i))
-    machine.make_automaton()
-    return machine, list(items.values())
-
-
-_built: dict[str, tuple] = {}
-
-
-def _machine(shared):
+        return [[b" ".join(normal_words(t)).decode("utf-8", "surrogatepass") if t else "" for t in texts.to_pylist()]]
+
+    made = add_columns(benchmark, [text_col], compute, [T.StructField("words", T.StringType())], [id_col])
+    return made.select(F.col(f"row.`{id_col}`").cast("string").alias("item"), "words").where("words <> ''").distinct()
+
+
+def _character(number: int) -> str:
+    """The character that stands for a word; 0 stands for words of no item, and surrogates stand for none."""
+    return chr(number if number < 0xD800 else number + 0x800)
+
+
+class Scanner:
+    """An automaton of pieces of items, and what is needed to extend a hit to windows."""
+
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
+        self.size, self.piece = size, (size + 1) // 2
+        self.word: dict[bytes, str] = {}
+        # Of each piece: the words beside it, as far as a window may reach, and the items that have it so.
+        at: dict[str, dict[tuple[str, str] | None, set]] = {}
+        for name, words in items:
+            text = "".join([self.word.setdefault(w, _character(len(self.word) + 1)) for w in words.encode("utf-8", "surrogatepass").split(b" ")])
+            if len(text) < size:
+                at.setdefault(text, {}).setdefault(None, set()).add(name)
+                continue
+            reach = size - self.piece
+            for s in range(0, len(text) - self.piece + 1, self.piece):
+                e = s + self.piece
+                at.setdefault(text[s:e], {}).setdefault((text[max(0, s - reach) : s], text[e : e + reach]), set()).add(name)
+        self.machine = ahocorasick.Automaton()
+        for piece, places in at.items():
+            self.machine.add_word(piece, (len(piece), [(beside, tuple(names - {None})) for beside, names in places.items()]))
+        self.machine.make_automaton()
+
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, word after the last, items) of runs that are covered by windows of items; runs may overlap."""
+        if not len(self.machine):
+            return
+        get = self.word.get
+        text = "".join([get(w, "\0") for w in words])
+        reach = self.size - self.piece
+        for last, (n, places) in self.machine.iter(text):
+            start, end = last + 1 - n, last + 1
+            left, right = text[max(0, start - reach) : start], text[end : end + reach]
+            for beside, names in places:
+                if beside is None:
+                    yield start, end, names
+                    continue
+                a, b = _common(beside[0][::-1], left[::-1]), _common(beside[1], right)
+                if a + n + b >= self.size:
+                    yield start - a, end + b, names
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+_built: dict[str, Scanner] = {}
+
+
+def _scanner(shared) -> Scanner:
     """The block's automaton, built once in each Python worker."""
     if shared.value["block"] not in _built:
         _built.clear()
-        _built[shared.value["block"]] = _automaton(shared.value["pairs"])
+        _built[shared.value["block"]] = Scanner(shared.value["items"], shared.value["size"])
     return _built[shared.value["block"]]
 
 
@@ -76,7 +121,7 @@ def _char_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(chars[starts[a]]), "end": int(chars[ends[b - 1]])} for a, b in ranges]
 
 
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(ranges: set[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
@@ -103,38 +148,33 @@ def decontaminate(
 
     ``items`` are the sorted distinct ids, as strings, of items with an occurring window; ``spans`` are merged character
     ranges of the original text. Null and empty texts have no words. Items with a null id mark words, but are not
-    listed; repeated items count once. Windows are collected in blocks of ``block_bytes`` and every block scans the
-    text once, so what is broadcast never grows with the benchmark; ordinary benchmarks need one block.
+    listed; repeated items count once. An item of fewer words than a window, but not none, is one window. Items are
+    collected in blocks of about ``block_bytes``, an item in one block, and every block scans the text once in a worker
+    of its own, so what is broadcast never grows with the benchmark; up to ``block_bytes`` there is one block.
     """
     spark = docs.sparkSession
-    pairs = benchmark_windows(benchmark, item_id, item_text, size)
-    total = pairs.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 8)).first()[0] or 0
+    pairs = benchmark_items(benchmark, item_id, item_text)
+    total = pairs.agg(F.sum(F.octet_length("words") + 1)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     call = uuid.uuid4().hex  # workers outlive a call, and keep automata by name
     current, inputs = docs, [text_col]
     keep_all = list(dict.fromkeys([*keep, text_col])) if blocks > 1 else list(keep)
     for block in range(blocks):
         # A block holds about block_bytes, so the driver and a worker never see more than that at once.
-        mine = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast({"block": f"{call}-{block}", "pairs": [tuple(r) for r in mine.collect()]})
+        mine = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast({"block": f"{call}-{block}", "size": size, "items": [tuple(r) for r in mine.collect()]})
 
         def compute(texts, found=None, seen=None, shared=shared):
-            machine, items = _machine(shared)
+            scanner = _scanner(shared)
             out: list[list] = [[], [], []]
             found = found.to_pylist() if found is not None else [None] * len(texts)
             seen = seen.to_pylist() if seen is not None else [None] * len(texts)
             for text, old, old_items in zip(texts.to_pylist(), found, seen, strict=True):
                 words = normal_words(text) if text else []
-                ranges, ids = [(r["start"], r["end"]) for r in old or ()], set(old_items or ())
-                if words and len(machine):
-                    line = b" " + b" ".join(words) + b" "
-                    hits = list(machine.iter(line.decode("latin-1")))
-                    if hits:
-                        ends = np.cumsum([len(w) + 1 for w in words])
-                        for end, (n, i) in hits:
-                            last = int(np.searchsorted(ends, end)) + 1
-                            ranges.append((last - n, last))
-                            ids.update(items[i])
+                ranges, ids = {(r["start"], r["end"]) for r in old or ()}, set(old_items or ())
+                for a, b, names in scanner.hits(words):
+                    ranges.add((a, b))
+                    ids.update(names)
                 out[0].append(len(words))
                 out[1].append([{"start": a, "end": b} for a, b in _merged(ranges)])
                 out[2].append(sorted(ids))
