@@ -1,8 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items scans every text once.
 
-Words are characters of the automaton. Items are cut into pieces of about half a window, so any window holds a whole piece;
-a hit of a piece is extended word by word in both directions. So a benchmark word costs the automaton one node, not one for
-each window that it stands in.
+A word is a number of three digits, which are characters of the automaton. Items are cut into pieces of about half a window,
+so any window holds a whole piece; a hit of a piece is extended word by word in both directions. So a benchmark word costs
+the automaton three nodes at most, not several for each window that it stands in.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from tarmac.llm.common import add_columns
 
 #: Words of one window.
 WINDOW = 10
-#: Bytes of normalised items in one automaton (measured: about 70 bytes of a worker's memory each, at most 1,000,000
-#: distinct words, which have a character each); more text makes more blocks, and every block scans the texts.
+#: Bytes of normalised items in one automaton (measured: about 55 bytes of a worker's memory each, at most a million distinct
+#: words); more text makes more blocks, and every block scans the texts.
 BLOCK_BYTES = 2_000_000
+#: Digits of a word's number and their base: a state of the automaton has at most so many next ones, which are searched in a row.
+DIGITS, BASE = 3, 128
 
 #: Byte map of the normal form: digits, a-z and bytes above 0x7F stay, A-Z become lower case, all others separate words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -44,9 +46,9 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     return made.select(F.col(f"row.`{id_col}`").cast("string").alias("item"), "words").where("words <> ''").distinct()
 
 
-def _character(number: int) -> str:
-    """The character that stands for a word; 0 stands for words of no item, and surrogates stand for none."""
-    return chr(number if number < 0xD800 else number + 0x800)
+def _digits(number: int) -> str:
+    """The characters of a word's number; each place has its own, so no hit begins within a word."""
+    return "".join(chr(1 + k * BASE + number // BASE**k % BASE) for k in range(DIGITS))
 
 
 class Scanner:
@@ -58,13 +60,13 @@ class Scanner:
         # Of each piece: the words beside it, as far as a window may reach, and the items that have it so.
         at: dict[str, dict[tuple[str, str] | None, set]] = {}
         for name, words in items:
-            text = "".join([self.word.setdefault(w, _character(len(self.word) + 1)) for w in words.encode("utf-8", "surrogatepass").split(b" ")])
-            if len(text) < size:
+            text = "".join([self.word.setdefault(w, _digits(len(self.word))) for w in words.encode("utf-8", "surrogatepass").split(b" ")])
+            if len(text) < size * DIGITS:
                 at.setdefault(text, {}).setdefault(None, set()).add(name)
                 continue
-            reach = size - self.piece
-            for s in range(0, len(text) - self.piece + 1, self.piece):
-                e = s + self.piece
+            reach, long = (size - self.piece) * DIGITS, self.piece * DIGITS
+            for s in range(0, len(text) - long + 1, long):
+                e = s + long
                 at.setdefault(text[s:e], {}).setdefault((text[max(0, s - reach) : s], text[e : e + reach]), set()).add(name)
         self.machine = ahocorasick.Automaton()
         for piece, places in at.items():
@@ -76,18 +78,18 @@ class Scanner:
         if not len(self.machine):
             return
         get = self.word.get
-        text = "".join([get(w, "\0") for w in words])
-        reach = self.size - self.piece
+        text = "".join([get(w, "\0" * DIGITS) for w in words])
+        reach = (self.size - self.piece) * DIGITS
         for last, (n, places) in self.machine.iter(text):
             start, end = last + 1 - n, last + 1
             left, right = text[max(0, start - reach) : start], text[end : end + reach]
             for beside, names in places:
                 if beside is None:
-                    yield start, end, names
+                    yield start // DIGITS, end // DIGITS, names
                     continue
-                a, b = _common(beside[0][::-1], left[::-1]), _common(beside[1], right)
-                if a + n + b >= self.size:
-                    yield start - a, end + b, names
+                a, b = _common(beside[0][::-1], left[::-1]) // DIGITS, _common(beside[1], right) // DIGITS
+                if a + n // DIGITS + b >= self.size:
+                    yield start // DIGITS - a, end // DIGITS + b, names
 
 
 def _common(a: str, b: str) -> int:

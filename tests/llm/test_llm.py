@@ -149,6 +149,50 @@ def test_word_hashes_follow_words():
     assert run_hashes(hashes[:3], 3) == run_hashes(hashes[3:6], 3)
 
 
+def bench_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def brute_leaks(text, items, size=10):
+    """Hit words of a text and the items found in it, by comparing every window at every place."""
+    w, hit, found = bench_words(text), set(), set()
+    for name, item in items:
+        v = bench_words(item)
+        n = min(size, len(v))
+        windows = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else ()
+        for i in range(len(w) - n + 1) if n else ():
+            if tuple(w[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                found.add(str(name))
+    return len(hit), tuple(sorted(found))
+
+
+def test_leaks_in_random_texts(spark):
+    """Few words, so items overlap themselves and each other; windows of several sizes; one block and several."""
+    rng = np.random.default_rng(2)
+
+    def some(n, k):
+        return " ".join(rng.choice(list("abcdefgh")[:k], n))
+
+    items = [(i, some(int(rng.integers(0, 40)), 2 + i % 5)) for i in range(40)] + [(100, "a " * 60), (101, "a " * 9)]
+    texts = [(i, " z ".join(t for _, t in items[i % 7 :: 7])[: 20 + 40 * i] + some(60, 2 + i % 4)) for i in range(40)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    for size, block in ((10, decontaminate.BLOCK_BYTES), (7, 300), (2, 300), (1, decontaminate.BLOCK_BYTES)):
+        got = {r["row"]["doc_id"]: (r["n_hit"], tuple(r["items"])) for r in decontaminate.decontaminate(docs, bench, size=size, block_bytes=block).collect()}
+        assert got == {d: brute_leaks(t, items, size) for d, t in texts}
+
+
+def test_two_megabytes_of_benchmark_are_one_scan(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(40_000)])
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(3_600)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x " + t + " y" if i % 2 else " ".join(t.split()[:9])) for i, t in enumerate(texts[:200])], "doc_id long, text string")
+    made = decontaminate.decontaminate(docs, bench)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["row"]["doc_id"]: (r["n_hit"], r["items"]) for r in made.collect()} == {i: (80, [str(i)]) if i % 2 else (0, []) for i in range(200)}
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "A, b"), (2, None), (None, "x y z"), (3, ""), (1, "a b"), (10, "word " * 12)], "item_id long, text string")
     for block in (decontaminate.BLOCK_BYTES, 20):  # one block of windows, and several
@@ -573,8 +617,7 @@ def test_pipeline(spark):
             assert all(texts[d] == old[d] for d in ids if removed[d][1] == 0) and ids >= {d for d in old if removed[d][0] > removed[d][1]}
         if i == 3:
             items = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
-            windows = set().union(*[decontaminate._windows(decontaminate.normal_words(t), 10) for t in items])
-            clean = {d for d, t in old.items() if not windows & decontaminate._windows(decontaminate.normal_words(t), 10)}
+            clean = {d for d, t in old.items() if not brute_leaks(t, list(enumerate(items)))[0]}
             assert ids == clean
     assert "ids" in docs.columns and ids <= set(known)
     run = {r["doc_id"]: r["ids_sha256"] for r in p.run(spark, SF).collect()}
