@@ -52,8 +52,16 @@ def read_metadata(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def write_object(entries: DataFrame, path: str, place: str = "place") -> None:
     """One JSON object of all entries (place, key, value) in their order, as a text file below ``path``; replaces what is there.
 
-    The object is one row, so it must fit into a task, as for those who read it.
+    Values of type string that hold a JSON object or list are written as such, as ``read_object`` gives them for entries of
+    these kinds; other strings are written as strings. Numbers within them are written as they were read. The object is one
+    row, so it must fit into a task, as for those who read it.
     """
-    row = F.array_sort(F.collect_list(F.struct(place, "key", "value")))
-    made = F.map_from_entries(F.transform("r", lambda e: F.struct(e["key"], e["value"])))
-    entries.groupBy().agg(row.alias("r")).select(F.to_json(made, {"ignoreNullFields": "false"})).write.mode("overwrite").text(path)
+    value = F.to_json(F.struct(F.col("value").alias("v")), {"ignoreNullFields": "false"})
+    value = F.substring(value, 6, 1 << 30).substr(F.lit(1), F.length(value) - 6)
+    if dict(entries.dtypes)["value"] == "string":
+        nested = F.col("value").rlike(r"^\s*[\[{]") & F.get_json_object("value", "$").isNotNull()
+        value = F.when(nested, F.col("value")).otherwise(value)
+    key = F.to_json(F.array("key"))
+    entry = F.concat(key.substr(F.lit(2), F.length(key) - 2), F.lit(":"), value)
+    row = F.array_sort(F.collect_list(F.struct(place, entry.alias("entry"))))
+    entries.groupBy().agg(row.alias("r")).select(F.concat(F.lit("{"), F.array_join("r.entry", ","), F.lit("}"))).write.mode("overwrite").text(path)

@@ -50,3 +50,13 @@ def test_metadata_folder(spark, tmp_path):
     assert got["roads"].count() == 0
     metadata.write_object(got["splits"], str(tmp_path / "out"))
     assert json.loads(next((tmp_path / "out").glob("part*")).read_text()) == files["splits.json"]
+
+
+def test_nested_entries_survive_a_round_trip(spark, tmp_path):
+    (tmp_path / "in.json").write_text('{"a": {"z": 1, "t": "x\\"y"}, "b": [1, {"c": null}], "c": "text", "d": null, "é\\n": "[not json", "n": 1.5}', encoding="utf-8")
+    first = metadata.read_object(spark, str(tmp_path / "in.json"))
+    metadata.write_object(first, str(tmp_path / "out"))
+    again = metadata.read_object(spark, str(tmp_path / "out"))
+    assert again.orderBy("place").collect() == first.orderBy("place").collect()
+    written = json.loads(next((tmp_path / "out").glob("part-*")).read_text(encoding="utf-8"))
+    assert written["a"] == {"z": 1, "t": 'x"y'} and written["b"] == [1, {"c": None}] and written["c"] == "text" and written["d"] is None and written["é\n"] == "[not json"
