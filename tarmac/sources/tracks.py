@@ -42,14 +42,36 @@ def read_webgis(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return joined.select("track", F.coalesce("timeoffset", F.lit(0.0)).alias("timeoffset"), F.col("time").alias("t"), F.get("coordinates", F.lit(1)).alias("lat"), F.get("coordinates", F.lit(0)).alias("lon"))
 
 
+#: A quoted text, whose own quotes are doubled; a value is one, a call with texts in it, or a word.
+_QUOTED = r"'[^']*+(?:''[^']*+)*+'"
+_VALUE = rf"{_QUOTED}|\w++\s*+\((?:{_QUOTED}|[^()'])*+\)|[^\s,()']++"
+
+
 def read_insert(spark: SparkSession, path: str | list[str], default_table: str) -> DataFrame:
-    """(track, table, filename, recording_start, uploaded_by, gis_map_id): fields of INSERT statements, null where a text has none."""
-    text = spark.read.text(path, wholetext=True).select(_track(), "value")
-    table = F.nullif(F.regexp_extract("value", r"(?i)INSERT\s+INTO\s+(\S+?)\s*\(", 1), F.lit(""))
-    values = F.regexp_extract("value", r"(?is)VALUES\s*\((.*)", 1)
-    quoted = F.regexp_extract_all(values, F.lit("'([^']*)'"), F.lit(1))
-    names = ["filename", "recording_start", "uploaded_by", "gis_map_id"]
-    return text.select("track", F.coalesce(table, F.lit(default_table)).alias("table"), *[F.get(quoted, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    """(track, table, filename, recording_start, uploaded_by, gis_map_id): fields of INSERT statements, null where a text has none.
+
+    Values belong to the statement's columns by their places, in whatever order and case these stand; a statement without
+    columns has the four in the order above. Doubled quotes stand for one.
+    """
+    fields = ["filename", "recording_start", "uploaded_by", "gis_map_id"]
+    text = spark.read.text(path, wholetext=True).select(_track(), F.col("value").alias("sql"))
+    keyword = F.regexp_instr("sql", F.lit(r"(?i)\bvalues\s*\("))
+    before = F.when(keyword > 0, F.col("sql").substr(F.lit(1), keyword - 1)).otherwise(F.col("sql"))
+    after = F.when(keyword > 0, F.col("sql").substr(keyword, F.length("sql"))).otherwise(F.lit(""))
+    target = F.regexp_replace(before, r"(?is)^.*?\binto\s+", "")
+    named = F.trim(F.substring_index(target, "(", 1))
+    table = F.when(before.rlike(r"(?i)\binto\s") & (F.instr(target, "(") > 0) & (named != ""), named)
+    listed = F.lower(F.regexp_replace(F.substring_index(F.substring_index(target, ")", 1), "(", -1), r'[\s"]', ""))
+    columns = F.when(F.instr(target, "(") > 0, F.split(listed, ",")).otherwise(F.array(*[F.lit(f) for f in fields]))
+    values = F.regexp_extract_all(F.regexp_replace(after, r"(?i)^values\s*\(", ""), F.lit(f"({_VALUE})"), F.lit(1))
+    parsed = text.select("track", table.alias("table"), columns.alias("columns"), values.alias("values"))
+    at = {f: F.array_position("columns", F.lit(f)) for f in fields}
+    out = parsed.select("track", F.coalesce("table", F.lit(default_table)).alias("table"), *[F.when(at[f] > 0, F.get("values", (at[f] - 1).cast("int"))).alias(f) for f in fields])
+    for f in fields:
+        raw = F.col(f)
+        quoted = F.replace(raw.substr(F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
+        out = out.withColumn(f, F.when(raw.startswith("'"), quoted).when(F.lower(raw) != "null", raw))
+    return out
 
 
 def cut_list(lines: DataFrame, line: str = "value") -> DataFrame:

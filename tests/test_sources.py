@@ -95,3 +95,14 @@ def test_first_sheet_with_rows(spark, tmp_path):
     sheets = spreadsheets.read_sheets(spark, str(tmp_path))
     assert [(r["row"], r["cells"]) for r in sheets.orderBy("row").collect()] == [(0, ["Section ", None, "Code"]), (1, ["12", None, "x"])]
     assert [tuple(r)[1:] for r in spreadsheets.with_header(sheets, ["section", "CODE", "none"]).collect()] == [(1, "12", "x", None)]
+
+
+def test_insert_columns_by_name(spark, tmp_path):
+    (tmp_path / "c.sql").write_text("insert  into Public.Logs (GIS_MAP_ID, the_geom,\n uploaded_by, filename) values ( 12, ST_GeomFromText('LINESTRING(1 2,3 4)', 3857), 'O''Neill, (x)', NULL);")
+    long = ",".join(["1.5 2.5"] * 100_000)
+    (tmp_path / "d.sql").write_text(f"INSERT INTO logs VALUES ('f', 'r', 'u''', '9', ST_GeomFromText('LINESTRING({long})', 3857))")
+    (tmp_path / "e.sql").write_text("SELECT 1")
+    rows = {r.track: tuple(r)[1:] for r in tracks.read_insert(spark, [str(tmp_path / f) for f in ("c.sql", "d.sql", "e.sql")], "other").collect()}
+    assert rows["c"] == ("Public.Logs", None, None, "O'Neill, (x)", "12")
+    assert rows["d"] == ("other", "f", "r", "u'", "9")
+    assert rows["e"] == ("other", None, None, None, None)
