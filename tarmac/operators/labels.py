@@ -118,16 +118,16 @@ def with_ordinal(df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``ordinal``, the place of a row in the order of a numeric unique key, from 0; null keys go.
 
     Rows are numbered in ranges of about equal size; the ranges' limits are a few numbers that are found first, so that
-    no task sees the whole table. Offsets are sums over the ranges' counts.
+    no task sees the whole table. Offsets are sums over the ranges' counts, which are found next. Rows that share a key lie in
+    one range.
     """
     limits = df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
     above = F.array(*[F.lit(x) for x in sorted(set(limits))]) if limits else F.array().cast("array<bigint>")
     ranged = df.where(F.col(key).isNotNull()).withColumn("_range", F.size(F.filter(above, lambda x: x < F.col(key))))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_range", before.alias("_before"))
+    counts = dict(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # at most RANGES numbers
+    before = F.array(*[F.lit(sum(n for r, n in counts.items() if r < i)).cast("long") for i in range(max(counts, default=0) + 1)])
     place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn("ordinal", F.col("_before") + F.col("_place") - 1).drop("_range", "_before", "_place")
+    return ranged.withColumn("_place", place).withColumn("ordinal", F.get(before, F.col("_range")) + F.col("_place") - 1).drop("_range", "_place")
 
 
 def sliced(df: DataFrame, key: str, start: int | None, stop: int | None, step: int = 1) -> DataFrame:
