@@ -55,12 +55,17 @@ def _headers(sheets: DataFrame) -> DataFrame:
     return head.withColumn("header", tables.trimmed(F.col("header"))).where("header <> ''")
 
 
-def resolved(sheets: DataFrame, schema: DataFrame) -> DataFrame:
-    """(file, name, header, how, suggestion) of the required names of every file; see ``tables.resolve_columns``."""
+def _asked(sheets: DataFrame, schema: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headers, required names and renames, as ``tables`` takes them."""
     names = schema.select(F.col("attribute").alias("name"))
     wanted = names.unionByName(sheets.sparkSession.createDataFrame([(s,) for s in SCALARS], "name string"))
     renames = schema.where("renamed is not null").select(F.col("attribute").alias("name"), F.col("renamed").alias("header"))
-    return tables.resolve_columns(_headers(sheets).select("file", "header"), wanted, renames)
+    return _headers(sheets).select("file", "header"), wanted, renames
+
+
+def resolved(sheets: DataFrame, schema: DataFrame) -> DataFrame:
+    """(file, name, header, how, suggestion) of the required names of every file; see ``tables.resolve_columns``."""
+    return tables.resolve_columns(*_asked(sheets, schema))
 
 
 def file_states(sheets: DataFrame, schema: DataFrame) -> DataFrame:
@@ -78,13 +83,15 @@ def file_states(sheets: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def _places(sheets: DataFrame, schema: DataFrame) -> DataFrame:
-    """(file, places): the place of every required name in the cells of a processed file, and of the offset if it is there."""
-    heads = _headers(sheets)
-    met = resolved(sheets, schema).where("header is not null").select("file", "name", "header").join(heads, ["file", "header"])
-    offset = heads.where(F.lower("header") == OFFSET).select("file", F.lit(OFFSET).alias("name"), "at")
-    first = met.select("file", "name", "at").unionByName(offset).groupBy("file", "name").agg(F.min("at").alias("at"))
-    each = first.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("places"))
-    return each.join(file_states(sheets, schema).where("status = 'processed'").select("file"), "file", "left_semi")
+    """(file, places): the place of every required name in the cells of a processed file, and of the offset if it is there.
+
+    A file that lacks no name has the section's column and those of all attributes, so it is a coding table.
+    """
+    heads = _headers(sheets).groupBy("file", "header").agg(F.min("at").alias("at"))
+    met = tables.met_columns(*_asked(sheets, schema)).join(heads, ["file", "header"], "left").select("file", "name", "at")
+    offset = heads.where(F.lower("header") == OFFSET).groupBy("file").agg(F.lit(OFFSET).alias("name"), F.min("at").alias("at"))
+    each = met.unionByName(offset.select("file", "name", "at")).groupBy("file")
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("places"), F.count_if(F.col("at").isNull()).alias("lacking")).where("lacking = 0").drop("lacking")
 
 
 def segment_number(cell: Column) -> Column:

@@ -27,7 +27,18 @@ def resolve_columns(headers: DataFrame, required: DataFrame, renames: DataFrame)
     Only names and headers that share two letters in a row are compared. That loses none: an edit spoils two of the
     n + 1 pairs of a name of n letters and its ends, and at most 0.4 n edits are allowed.
     """
-    named = headers.select("file", trimmed(F.col("header")).alias("header")).where("header <> ''").distinct()
+    named = _named(headers)
+    met = met_columns(headers, required, renames)
+    return met.join(suggestions(met.where("how = 'missing'").select("file", "name"), unused(named, met)), ["file", "name"], "left")
+
+
+def _named(headers: DataFrame) -> DataFrame:
+    return headers.select("file", trimmed(F.col("header")).alias("header")).where("header <> ''").distinct()
+
+
+def met_columns(headers: DataFrame, required: DataFrame, renames: DataFrame) -> DataFrame:
+    """(file, name, header, how) as ``resolve_columns`` gives them, without looking for suggestions."""
+    named = _named(headers)
     files = named.select("file").distinct()
     first = named.groupBy("file", F.lower("header").alias("low")).agg(F.min("header").alias("cased"))
     wanted = required.select("name").distinct().join(renames.groupBy("name").agg(F.min(trimmed(F.col("header"))).alias("renamed")), "name", "left")
@@ -40,8 +51,7 @@ def resolve_columns(headers: DataFrame, required: DataFrame, renames: DataFrame)
         asked = asked.join(exact, ["file", key], "left").withColumn(f"{key}_low", F.lower(key)).join(case, ["file", f"{key}_low"], "left")
     found = F.coalesce("own_exact", "own_case", "other_exact", "other_case")
     how = F.when(F.col("own_exact").isNotNull(), "exact").when(F.col("own_case").isNotNull(), "case").when(found.isNotNull(), "rename").otherwise("missing")
-    met = asked.select("file", "name", found.alias("header"), how.alias("how"))
-    return met.join(suggestions(met.where("how = 'missing'").select("file", "name"), unused(named, met)), ["file", "name"], "left")
+    return asked.select("file", "name", found.alias("header"), how.alias("how"))
 
 
 def unused(named: DataFrame, met: DataFrame) -> DataFrame:
