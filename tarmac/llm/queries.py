@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard_join, langid, lm_score, media, merkle, substring_dedup, token_counts, url_filter
-from tarmac.llm.common import shared_dir, written
+from tarmac.llm.common import discard, shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,26 +84,43 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.page_id", "host", "path", "rule", "verdict")
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch 1 inserts all documents; 2 revises the count of those labelled low quality to marks; 3 deletes toxic ones; 2 comes again."""
-    counts = [token_counts.count_tokens(F.col("text"), v).alias(v) for v in token_counts.VERSIONS]
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts)
-    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 0).alias("poor"), F.max(F.col("toxic") == 1).alias("toxic"))
+def rolled_up(spark: SparkSession, docs: DataFrame, labels: DataFrame, first: str, second: str) -> DataFrame:
+    """Totals after four batches of ``docs`` (doc_id, source, lang and a count by each version).
+
+    Batch 1 inserts all documents; 2 revises the count of those labelled low quality to the second version; 3 deletes toxic
+    ones; 2 comes again.
+    """
+    marks = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 0).alias("poor"), F.max(F.col("toxic") == 1).alias("toxic"))
     # Counts, not texts, are shuffled to the labels, once for all batches.
-    docs = written(docs.join(labels, "doc_id", "left").fillna(False, ["poor", "toxic"]))
+    docs = written(docs.join(marks, "doc_id", "left").fillna(False, ["poor", "toxic"]))
 
     def changes(rows, version, sign=1):
         return token_counts.counted(rows, version, sign, count_col=version)
 
     poor, toxic = F.col("poor"), F.col("toxic")
-    revised = changes(docs.where(poor), "space-1", -1).unionByName(changes(docs.where(poor), "mark-1"))
-    deletes = changes(docs.where(toxic & poor), "mark-1", -1).unionByName(changes(docs.where(toxic & ~poor), "space-1", -1))
+    revised = changes(docs.where(poor), first, -1).unionByName(changes(docs.where(poor), second))
+    deletes = changes(docs.where(toxic & poor), second, -1).unionByName(changes(docs.where(toxic & ~poor), first, -1))
     rollup = token_counts.Rollup(spark, shared_dir(spark))
-    for batch, rows in ((1, changes(docs, "space-1")), (2, revised), (3, deletes), (2, revised)):
+    for batch, rows in ((1, changes(docs, first)), (2, revised), (3, deletes), (2, revised)):
         rollup.commit(batch, rows)
+    discard(docs)
     return rollup.totals()
 
 
+def vocabularies() -> dict[str, str]:
+    """The tokenizer versions of the query of token counts and their vocabulary files."""
+    import public_tokenizers
+
+    return {"words-49k": tokenizer_path(), "bytes-50k": public_tokenizers.path("byte_bpe_50k.json")}
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by two vocabularies: counts by words are revised to counts by bytes where a label says low quality."""
+    done = token_counts.vocabulary_counts(_table(spark, sf_dir, "documents"), vocabularies(), keep=("doc_id", "source", "lang"))
+    docs = done.select("row.*", *vocabularies())
+    return rolled_up(spark, docs, _table(spark, sf_dir, "labels"), *vocabularies())
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return done.select("row.doc_id", "text", "n_sentences", "n_removed")
@@ -197,14 +214,6 @@ SQL = {
                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'allow'
                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
         FROM p""",
-    "op9_token_counts": r"""
-        WITH c AS (SELECT source, lang, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS poor,
-                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS s,
-                          len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]')) AS m
-                   FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
-        SELECT source, lang, CASE WHEN poor THEN 'mark-1' ELSE 'space-1' END AS version, count(*) AS docs,
-               sum(CASE WHEN poor THEN m ELSE s END)::BIGINT AS tokens
-        FROM c GROUP BY ALL""",
 }
 
 

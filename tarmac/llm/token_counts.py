@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarmac.llm.bpe import WordBpe
+from tarmac.llm.byte_bpe import ByteBpe
+from tarmac.llm.common import add_columns, texts_of
 
-#: Tokenizer versions counted without a vocabulary: words between white space, and words with each other mark on its own.
+#: Versions counted without a vocabulary, by plain SQL functions: words between white space, and words with each other mark on its own.
 VERSIONS = {"space-1": r"[^\x20\x09-\x0D]+", "mark-1": r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]"}
 
 _KEYS = ["source", "lang", "version"]
@@ -16,6 +23,31 @@ def count_tokens(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(VERSIONS[version])), F.lit(0)).cast("long")
 
 
+_loaded: dict[str, WordBpe] = {}
+
+
+def tokenizer(path: str) -> WordBpe:
+    """The tokenizer of a vocabulary file, with word ends or over bytes, loaded once in each Python worker."""
+    if path not in _loaded:
+        with open(path, encoding="utf-8") as f:
+            ends = json.load(f)["model"]["end_of_word_suffix"]
+        _loaded[path] = WordBpe(path) if ends else ByteBpe(path)
+    return _loaded[path]
+
+
+def vocabulary_counts(docs: DataFrame, versions: dict[str, str], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: ``row`` (its ``keep`` columns) and, by the name of each version, the tokens of the whole text (null: 0).
+
+    ``versions`` gives the vocabulary file of each name. All versions are counted in one pass over the texts.
+    """
+
+    def compute(texts):
+        whole = texts_of(texts)
+        return [[len(ids) for ids in tokenizer(path).encode_batch(whole)] for path in versions.values()]
+
+    return add_columns(docs, [text_col], compute, [T.StructField(v, T.LongType()) for v in versions], list(keep))
+
+
 def counted(docs: DataFrame, version: str, sign: int = 1, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """One signed change per document: +1 for an insert, -1 for a delete; a revised count is a delete and an insert.
 
