@@ -182,7 +182,8 @@ def missing_classes(spark, sf_dir):
 
 def list_differences(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return an.list_difference(o.where("o_orderkey % 3 <> 0").select("o_custkey", "o_orderpriority"), o.where("o_orderkey % 4 <> 0").select("o_custkey", "o_orderpriority"))
+    renamed = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    return an.list_difference(o.select("o_custkey", "o_orderpriority"), o.select(renamed.alias("o_custkey"), "o_orderpriority"))
 
 
 def first_uploads(spark, sf_dir):
@@ -248,7 +249,8 @@ QUERIES = {
     "sequence_centroids": (sequence_centroids, "SELECT user_id, count(*) AS n, median((event_id % 91)::DOUBLE) AS lat, median(value) AS value FROM events GROUP BY 1"),
     "missing_classes": (missing_classes, """WITH o AS (SELECT o_orderpriority, o_custkey AS code FROM orders), t AS (SELECT count(DISTINCT o_orderpriority) AS s FROM o)
         SELECT code, any_value(s) - count(DISTINCT o_orderpriority) AS missing FROM o, t GROUP BY code HAVING count(DISTINCT o_orderpriority) < any_value(s)"""),
-    "list_differences": (list_differences, """WITH a AS (SELECT o_custkey, o_orderpriority, count(*) FILTER (o_orderkey % 3 <> 0) AS x, count(*) FILTER (o_orderkey % 4 <> 0) AS y FROM orders GROUP BY 1, 2)
+    "list_differences": (list_differences, """WITH e AS (SELECT o_custkey, o_orderpriority, 1 AS old, 0 AS new FROM orders UNION ALL SELECT o_custkey + (o_orderkey % 4 = 0)::INT, o_orderpriority, 0, 1 FROM orders),
+        a AS (SELECT o_custkey, o_orderpriority, sum(old)::BIGINT AS x, sum(new)::BIGINT AS y FROM e GROUP BY 1, 2)
         SELECT o_custkey, o_orderpriority, CASE WHEN x > y THEN 'removed' ELSE 'added' END AS kind, abs(x - y) AS n FROM a WHERE x <> y"""),
     "first_uploads": (first_uploads, """WITH f AS (SELECT o_custkey % 30 AS dataset, 'u' || (o_custkey % 7) AS u, min(o_orderdate) AS d FROM orders GROUP BY 1, 2) SELECT dataset, string_agg(u, ',' ORDER BY d, u) AS submitters FROM f GROUP BY 1"""),
     "interleaved": (interleaved, """WITH e AS (SELECT event_id AS segment, event_id // 100 AS recording, event_id % 3 = 0 AS labelled FROM events), n AS (SELECT recording, segment AS a, lead(segment) OVER (PARTITION BY recording ORDER BY segment) AS b FROM e WHERE labelled)

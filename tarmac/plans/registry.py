@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.plans import annotation_queries, bootstrap_queries, build_queries, coding_queries, evaluation_queries, label_queries, method_queries, release_queries, report_queries, road_queries, scoring_queries, selection_queries, table_queries, track_queries
+from tarmac.plans import annotation_queries, bootstrap_queries, build_queries, coding_queries, evaluation_queries, label_queries, method_queries, release_queries, report_queries, road_queries, scoring_queries, selection_queries, table_queries, template_queries, track_queries
 
 FLAGSHIP = "attribute_metrics"
 
-_MODULES = (scoring_queries, road_queries, annotation_queries, track_queries, report_queries, method_queries, label_queries, table_queries, bootstrap_queries, evaluation_queries, build_queries, selection_queries, release_queries, coding_queries)
+_MODULES = (scoring_queries, road_queries, annotation_queries, track_queries, report_queries, method_queries, label_queries, table_queries, bootstrap_queries, evaluation_queries, build_queries, selection_queries, release_queries, coding_queries, template_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

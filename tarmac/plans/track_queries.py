@@ -104,7 +104,9 @@ def highlight_strength(spark, sf_dir):
 
 def patch_merge(spark, sf_dir):
     s = _submissions(spark, sf_dir).select("submission", "split")
-    return archive.later_wins(s.where("submission % 2 = 0"), s.where("submission % 3 = 0").withColumn("split", F.lit("patched")), ["submission"])
+    patch = s.where("submission % 3 = 0").withColumn("split", F.lit("patched"))
+    added = s.withColumn("submission", -1 - F.col("submission"))  # the later archive has entries of its own, too
+    return archive.later_wins(s, patch.unionByName(added), ["submission"])
 
 
 def archive_collisions(spark, sf_dir):
@@ -156,7 +158,7 @@ QUERIES = {
     "rank_methods": (rank_methods, "WITH m AS (SELECT o_custkey AS method, 'm' || (o_custkey % 4) AS metric, CASE WHEN o_custkey % 17 <> 0 THEN round(avg(o_totalprice), 2) END AS score FROM orders GROUP BY o_custkey) SELECT metric, method, row_number() OVER (PARTITION BY metric ORDER BY score IS NULL, score DESC, method)::INT AS rank FROM m"),
     "highlight_strength": (highlight_strength, """WITH m AS (SELECT o_custkey AS method, 'm' || (o_custkey % 4) AS metric, CASE WHEN o_custkey % 17 <> 0 THEN round(avg(o_totalprice), 2) END AS score FROM orders GROUP BY o_custkey),
         r AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM m WINDOW w AS (PARTITION BY metric)) SELECT metric, method, round(CASE WHEN metric = 'm1' THEN 1 - s ELSE s END, 4) AS strength FROM r"""),
-    "patch_merge": (patch_merge, "SELECT o_orderkey AS submission, CASE WHEN o_orderkey % 3 = 0 THEN 'patched' ELSE o_orderpriority END AS split FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"),
+    "patch_merge": (patch_merge, "SELECT o_orderkey AS submission, CASE WHEN o_orderkey % 3 = 0 THEN 'patched' ELSE o_orderpriority END AS split FROM orders UNION ALL SELECT -1 - o_orderkey, o_orderpriority FROM orders"),
     "archive_collisions": (archive_collisions, "SELECT lower(p_name) AS key, count(*) AS n, CASE WHEN count(DISTINCT p_brand) = 1 THEN 'identical' ELSE 'differing' END AS kind FROM part GROUP BY 1 HAVING count(*) > 1"),
     "method_summary": (method_summary, "SELECT o_custkey AS method, count(*) AS models, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS splits, round(sum(o_totalprice), 2) AS size, min(o_orderdate) AS first_upload, max(o_orderdate) AS last_upload FROM orders GROUP BY o_custkey"),
     "stem_prefix_join": (stem_prefix_join, """WITH w AS (SELECT DISTINCT left(c_name, 17) AS wanted FROM customer UNION SELECT c_name FROM customer),
