@@ -32,12 +32,12 @@ def annotator_pairs(df: DataFrame, segment: str, annotator: str, code: str) -> D
 
 def kappa(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of agreement and Cohen's kappa by keys, from counts of code pairs; kappa is null if chance explains all."""
-    w = [*keys]
-    total = pairs.groupBy(*w).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("code_a") == F.col("code_b"), F.col("n")).otherwise(0)).alias("same"))
-    ra = pairs.groupBy(*w, F.col("code_a").alias("code")).agg(F.sum("n").alias("na"))
-    rb = pairs.groupBy(*w, F.col("code_b").alias("code")).agg(F.sum("n").alias("nb"))
-    chance = ra.join(rb, [*w, "code"]).groupBy(*w).agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
-    both = total.join(chance, w, "left")
+    w, n, zero = [*keys], F.col("n"), F.lit(0).cast("long")
+    same = F.when(F.col("code_a") == F.col("code_b"), n).otherwise(zero)
+    # Each line of counts is read once and stands for its two sides.
+    sides = F.array(F.struct(F.col("code_a").alias("code"), n.alias("na"), zero.alias("nb"), same.alias("same")), F.struct(F.col("code_b").alias("code"), zero.alias("na"), n.alias("nb"), zero.alias("same")))
+    margins = pairs.select(*w, F.inline(sides)).groupBy(*w, "code").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("same").alias("same"))
+    both = margins.groupBy(*w).agg(F.sum("na").alias("n"), F.sum("same").alias("same"), F.sum(F.when(F.col("code").isNotNull(), F.col("na") * F.col("nb"))).alias("chance"))
     n, expected = F.col("n").cast("double"), F.coalesce("chance", F.lit(0)).cast("double")
     return both.select(*w, "n", (F.col("same") / n).alias("agreement"), F.try_divide(F.col("same") * n - expected, n * n - expected).alias("kappa"))
 

@@ -74,28 +74,41 @@ def _first_rows(content: bytes) -> Iterator[list[str | None]]:
                 return
 
 
+def _books(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    """A workbook itself, or those in a zip file, in order, named behind an exclamation mark; lock files are skipped."""
+    if name.lower().endswith(".xlsx"):
+        yield name, content
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for member in sorted(archive.namelist()):
+            if member.lower().endswith(".xlsx") and not member.rpartition("/")[2].startswith("~$"):
+                yield f"{name}!/{member}", archive.read(member)
+
+
 def read_sheets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, row, cells) of the first non-empty sheet of every workbook (xlsx) below ``path``; lock files are skipped.
 
-    A workbook is read by one task, row by row; numbers are texts as they stand in the file, empty rows are left out.
+    Workbooks in zip files are read without being unpacked, one in memory at a time; their path is that of the zip file,
+    ``!/`` and the name in it. A workbook, as a zip file, is read by one task, row by row; numbers are texts as they stand in the file, empty rows are left out.
     Cells are given as text, so that codes and identifiers keep their digits.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xlsx,zip}").load(path)
     files = files.where(~F.regexp_extract("path", r"([^/]*)$", 1).startswith("~$")).select("path", "content")
     names = ["path", "row", "cells"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held: list[list[str | None]] = []
-                start = 0
-                for cells in _first_rows(content.as_py()):
-                    held.append(cells)
-                    if len(held) == _ROWS_OF_A_BATCH:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for name, book in _books(file, content.as_py()):
+                    held: list[list[str | None]] = []
+                    start = 0
+                    for cells in _first_rows(book):
+                        held.append(cells)
+                        if len(held) == _ROWS_OF_A_BATCH:
+                            yield _batch(name, start, held)
+                            start, held = start + len(held), []
+                    if held:
                         yield _batch(name, start, held)
-                        start, held = start + len(held), []
-                if held:
-                    yield _batch(name, start, held)
 
     def _batch(name, start, rows):
         n = len(rows)

@@ -97,6 +97,19 @@ def test_first_sheet_with_rows(spark, tmp_path):
     assert [tuple(r)[1:] for r in spreadsheets.with_header(sheets, ["section", "CODE", "none"]).collect()] == [(1, "12", "x", None)]
 
 
+def test_workbooks_in_zip_files(spark, tmp_path):
+    row = '<row r="1"><c r="A1" t="s"><v>0</v></c></row>'
+    for name in ("one", "two", "~$two"):
+        _workbook(tmp_path / f"{name}.xlsx", [row], [name])
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        for name, to in (("one", "b/one"), ("two", "a/two"), ("~$two", "a/~$two")):
+            z.write(tmp_path / f"{name}.xlsx", f"{to}.xlsx")
+        z.writestr("notes.txt", "no workbook")
+    (tmp_path / "two.xlsx").unlink()
+    found = {r.path.rpartition("/")[2] if "!" not in r.path else r.path.partition("!")[2]: r["cells"] for r in spreadsheets.read_sheets(spark, str(tmp_path)).collect()}
+    assert found == {"one.xlsx": ["one"], "/b/one.xlsx": ["one"], "/a/two.xlsx": ["two"]}
+
+
 def test_insert_columns_by_name(spark, tmp_path):
     (tmp_path / "c.sql").write_text("insert  into Public.Logs (GIS_MAP_ID, the_geom,\n uploaded_by, filename) values ( 12, ST_GeomFromText('LINESTRING(1 2,3 4)', 3857), 'O''Neill, (x)', NULL);")
     long = ",".join(["1.5 2.5"] * 100_000)
