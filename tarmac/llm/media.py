@@ -132,14 +132,23 @@ def media_features(media: DataFrame, media_col: str = "media", keep: tuple[str,
 def matching_offsets(fingerprints: DataFrame, probe: DataFrame, id_col: str = "doc_id", least: int = 5) -> DataFrame:
     """Pairs (probe, id) with at least ``least`` equal peak pairs at one distance in time, joined on the pair's code.
 
-    Both sides have ``id_col`` and ``fingerprint``; the codes of the probes are pre-aggregated by distance. ``offset`` is
-    the distance in whole frames of ``FRAME`` samples, ``samples`` the distance in samples, to the nearest hop.
+    Both sides have ``id_col`` and ``fingerprint``. Codes are joined once for each different fingerprint of either side, so
+    rows of equal media cost their links and no votes; rows of null or empty fingerprints match nothing. ``offset`` is the
+    distance in whole frames of ``FRAME`` samples, ``samples`` the distance in samples, to the nearest hop.
     """
 
+    def sides(df, name):
+        key = F.sha2(F.array_join("fingerprint", ","), 256).alias(f"_{name}")
+        keyed = df.select(F.col(id_col).alias(name), "fingerprint", key).where(F.size("fingerprint") > 0)
+        return keyed.select(name, f"_{name}"), keyed.groupBy(f"_{name}").agg(F.first("fingerprint").alias("fingerprint"))
+
     def codes(df, name):
         c = F.col("c")
-        return df.select(F.col(id_col).alias(name), F.explode("fingerprint").alias("c")).select(name, (c.bitwiseAND(F.lit(0xFFFFFFFF))).alias("code"), F.shiftright(c, 32).alias(f"t_{name}"))
-
-    joined = codes(fingerprints, "id").join(codes(probe, "probe"), "code")
-    votes = joined.groupBy("probe", "id", (F.col("t_id") - F.col("t_probe")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.where(F.col("votes") >= least).groupBy("probe", "id").agg(F.max_by("offset", F.struct("votes", "offset")).alias("hops"), F.max("votes").alias("votes")).select("probe", "id", F.round(F.col("hops") * HOP / FRAME).cast("long").alias("offset"), "votes", (F.col("hops") * HOP).alias("samples"))
+        return df.select(f"_{name}", F.explode("fingerprint").alias("c")).select(f"_{name}", (c.bitwiseAND(F.lit(0xFFFFFFFF))).alias("code"), F.shiftright(c, 32).alias(f"t_{name}"))
+
+    (ids, each), (probes, each_probe) = sides(fingerprints, "id"), sides(probe, "probe")
+    joined = codes(each, "id").join(codes(each_probe, "probe"), "code")
+    votes = joined.groupBy("_probe", "_id", (F.col("t_id") - F.col("t_probe")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.where(F.col("votes") >= least).groupBy("_probe", "_id").agg(F.max_by("offset", F.struct("votes", "offset")).alias("hops"), F.max("votes").alias("votes"))
+    found = best.join(probes, "_probe").join(ids, "_id")
+    return found.select("probe", "id", F.round(F.col("hops") * HOP / FRAME).cast("long").alias("offset"), "votes", (F.col("hops") * HOP).alias("samples"))

@@ -319,6 +319,18 @@ def test_fingerprints_find_parts_at_any_sample(spark):
     assert hits >= 0.98 * len(starts)
 
 
+def test_equal_media_are_joined_once(spark):
+    rng = np.random.RandomState(5)
+    prints = [media.fingerprint(rng.randint(0, 256, 5_120).astype(np.uint8).tobytes()).tolist() for _ in range(3)]
+    rows = [(f"{i}-{n}", p) for i, p in enumerate(prints) for n in range(20)] + [("null", None), ("none", []), ("0-0", prints[0])]
+    df = spark.createDataFrame(rows, "doc_id string, fingerprint array<long>")
+    found = Counter((r["probe"], r["id"]) for r in media.matching_offsets(df, df).where("offset = 0").collect())
+    alone = {(i, j) for i in range(3) for j in range(3) if sum((Counter(prints[i]) & Counter(prints[j])).values()) >= 5}
+    want = Counter((a, b) for a, p in rows for b, q in rows if p and q and (int(a[0]), int(b[0])) in alone and p == q)
+    assert {k: v for k, v in found.items() if k[0][0] == k[1][0]} == dict(want)
+    assert media.matching_offsets(df.limit(0), df).count() == 0
+
+
 def test_language_of_held_out_documents(spark):
     docs = {r[0]: r[1] for r in duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()}
     got = queries.op4_language(spark, "/root/testdata/sf0.01").collect()
