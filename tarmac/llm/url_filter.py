@@ -76,7 +76,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[
 
     ``rules`` has host, path and verdict, one row for each (host, path). A rule fits its host and all subdomains if the
     page's path starts with the rule's path; the rule with the most characters (host and path) wins, the first in order
-    among equals. Pages without a rule get ``otherwise``. A null url, or one without ``://``, has an empty host and path.
+    among equals. Pages without a rule get ``otherwise``. A rule with a null host or path fits nothing. A null url, or one without ``://``, has an empty host and path.
     A page's keys are its host's last labels with its path's first characters, for the numbers of labels and characters
     that occur in the list; rules of more than ``KEY_LABELS`` labels or ``KEY_CHARS`` characters have the key of their last
     labels and first characters, and the exact join compares the whole host and path. Distinct (host, path) pairs are judged
