@@ -91,7 +91,8 @@ def orphan_scorings(spark, sf_dir):
 
 def _methods(spark, sf_dir):
     m = _submissions(spark, sf_dir).groupBy("method").agg(F.avg("score").alias("score"))
-    return m.withColumn("score", F.when(F.col("method") % 17 != 0, F.round("score", 2))).withColumn("metric", F.concat(F.lit("m"), (F.col("method") % 4).cast("string")))
+    score = F.round(F.col("score") * 100) / 100  # as SQL rounds; round(x, 2) rounds the shortest decimal text of x, and averages often end in half a cent
+    return m.withColumn("score", F.when(F.col("method") % 17 != 0, score)).withColumn("metric", F.concat(F.lit("m"), (F.col("method") % 4).cast("string")))
 
 
 def rank_methods(spark, sf_dir):
