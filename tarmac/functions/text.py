@@ -6,20 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fixed_text(x: Column, decimals: int) -> Column:
+    """``decimals`` decimals without grouping; the number's exact value is rounded, ties to the even digit, as C's printf does."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * decimals))
+
+
 def share_text(x: Column) -> Column:
     """A share in percent with one decimal, bounded where it would round to 0% or 100% without being it; undefined: empty."""
     undefined = x.isNull() | F.isnan(x)
-    return F.when(undefined, "").when((x > 0) & (x < 0.0005), "<0.1%").when((x >= 0.9995) & (x < 1), ">99.9%").otherwise(F.format_string("%.1f%%", x * 100))
+    return F.when(undefined, "").when((x > 0) & (x < 0.0005), "<0.1%").when((x >= 0.9995) & (x < 1), ">99.9%").otherwise(F.concat(fixed_text(x * 100, 1), F.lit("%")))
 
 
 def ratio_text(x: Column) -> Column:
     """A ratio with one decimal, from 10 on without; undefined: empty."""
-    return F.when(x.isNull() | F.isnan(x), "").when(x >= 10, F.format_number(x, 0)).otherwise(F.format_string("%.1f", x))
+    return F.when(x.isNull() | F.isnan(x), "").when(x >= 10, F.format_number(x, 0)).otherwise(fixed_text(x, 1))
 
 
 def metric_text(x: Column, decimals: int, signed: bool = False) -> Column:
     """A value without a leading zero; ``NaN`` and infinities by name, null as a dash; with ``signed``, a plus before positive values."""
-    plain = F.regexp_replace(F.format_string(f"%.{decimals}f", x), r"^(-?)0\.", "$1.")
+    plain = F.regexp_replace(fixed_text(x, decimals), r"^(-?)0\.", "$1.")
     text = F.when(x.isNull(), "–").when(F.isnan(x), "NaN").when(x == float("inf"), "∞").when(x == float("-inf"), "-∞").otherwise(plain)
     return F.when(F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)), F.concat(F.lit("+"), text)).otherwise(text) if signed else text
 
