@@ -118,10 +118,11 @@ def parse(sheets: DataFrame, schema: DataFrame, rules: Rules = Rules()) -> DataF
     ``drop_missing``) or ``unknown_code``, ``no_attributes``. Files that aren't processed give no rows; ``file_states``
     says why.
 
-    All cells of a row are resolved in the row, so rows are only joined with the places of their file's columns.
+    All cells of a row are resolved in the row, so rows are only joined with the places of their file's columns: a short map
+    for each file, sent to all tasks, as files are few and long, and a shuffle by file would make each one task's rows.
     """
     ordered = schema.agg(F.array_sort(F.collect_list(F.struct("place", "attribute", "codes"))).alias("attributes"))
-    body = sheets.where("row > 0").withColumnRenamed("path", "file").join(_places(sheets, schema), "file")
+    body = sheets.where("row > 0").withColumnRenamed("path", "file").join(F.broadcast(_places(sheets, schema)), "file")
     body = body.crossJoin(F.broadcast(ordered))  # one row of the size of the schema
 
     def cell(name: Column | str) -> Column:
@@ -235,28 +236,56 @@ def file_report(sheets: DataFrame, schema: DataFrame, parsed: DataFrame) -> Data
     value in the file. Rows are counted before copies are resolved. Files that aren't processed have no counts.
     """
     good = F.col("drop_reason").isNull()
-    lacks = F.exists(F.map_values("codes"), lambda c: c == MISSING)
-    counts = parsed.groupBy("file").agg(F.count_if(F.size("given") > 0).alias("rows_non_empty"), F.count_if(good).alias("rows_kept"), F.count_if(good & lacks).alias("rows_with_missing"))
+    lacking = F.map_keys(F.map_filter("codes", lambda _, c: c == MISSING))
 
-    def lists(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+    def each(kind: str, names: Column, condition: Column) -> Column:
+        return F.when(condition, F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))).otherwise(F.array().cast("array<struct<kind:string,name:string>>"))
 
-    gone = lists(drops(parsed).where("file is not null"), "drop_reason", "dropped")
-    empty = empty_attributes(parsed, schema).groupBy("file").agg(F.array_sort(F.collect_list("attribute")).alias("empty"))
-    out = file_states(sheets, schema)
-    for part in (counts, gone, empty, lists(missing_values(parsed), "attribute", "missing_values")):
-        out = out.join(part, "file", "left")
-    return out
+    # One pass: a row tells of what it counts for, and is counted before it is shuffled.
+    no_name = F.array(F.lit(None).cast("string"))
+    told = F.flatten(F.array(
+        each("row", no_name, F.lit(True)), each("non-empty", no_name, F.size("given") > 0), each("kept", no_name, good), each("lacks", no_name, good & (F.size(lacking) > 0)),
+        each("dropped", F.array("drop_reason"), ~good & (F.col("drop_reason") != PADDING)), each("given", F.col("given"), F.lit(True)), each("missing", lacking, good),
+    ))
+    tally = parsed.select("file", F.explode(told).alias("t")).groupBy("file", "t").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("t.kind") == kind, F.col("n"))), F.lit(0))
+
+    def lists(kind: str) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col("t.kind") == kind, F.struct("t.name", "n"))))
+        return F.when(F.size(found) > 0, F.map_from_entries(found))
+
+    every = schema.agg(F.array_sort(F.collect_list("attribute")).alias("every"))
+    counts = tally.groupBy("file").agg(
+        count("non-empty").alias("rows_non_empty"), count("kept").alias("rows_kept"), count("lacks").alias("rows_with_missing"),
+        lists("dropped").alias("dropped"), F.collect_set(F.when(F.col("t.kind") == "given", F.col("t.name"))).alias("given"), lists("missing").alias("missing_values"),
+    )
+    empty = F.array_except("every", "given")
+    counts = counts.crossJoin(F.broadcast(every)).withColumn("empty", F.when(F.size(empty) > 0, empty))  # one row of the size of the schema
+    return file_states(sheets, schema).join(counts.select("file", "rows_non_empty", "rows_kept", "rows_with_missing", "dropped", "empty", "missing_values"), "file", "left")
 
 
 def attribute_report(schema: DataFrame, parsed: DataFrame, kept: DataFrame) -> DataFrame:
     """(attribute, files_empty, rows_missing, unknown_codes): files without a value, rows of ``kept_rows`` without one, distinct codes outside the vocabulary."""
-    empty = empty_attributes(parsed, schema).groupBy("attribute").agg(F.count(F.lit(1)).alias("files_empty"))
+    none = F.array().cast("array<struct<kind:string,file:string,attribute:string,code:bigint>>")
+
+    def fact(kind: str, file: Column, attribute: Column, code: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), file.alias("file"), attribute.cast("string").alias("attribute"), code.cast("long").alias("code"))
+
+    # One pass over the rows: files, their attributes with a value, and unknown codes, each once.
+    null, file = F.lit(None).cast("string"), F.col("file").cast("string")
+    given = F.transform("given", lambda a: fact("given", file, a, null))
+    bad = F.when(F.col("bad_code").isNotNull(), F.array(fact("bad", null, F.col("bad_attribute"), F.col("bad_code")))).otherwise(none)
+    facts = parsed.select(F.explode(F.concat(F.array(fact("file", file, null, null)), given, bad)).alias("f")).distinct()
+    count = {kind: F.count_if(F.col("f.kind") == kind).alias(kind) for kind in ("file", "given", "bad")}
+    told = facts.groupBy("f.attribute").agg(*count.values())  # a line for each attribute, and one for the files
+    met = F.map_from_entries(F.collect_list(F.when(F.col("attribute").isNotNull(), F.struct("attribute", F.struct("given", "bad")))))
+    told = told.agg(F.coalesce(F.sum("file"), F.lit(0)).alias("files"), met.alias("met"))
     missing = kept.select(F.explode("codes").alias("attribute", "code")).groupBy("attribute").agg(F.count_if(F.col("code") == MISSING).alias("rows_missing"))
-    unknown = parsed.where("bad_code is not null").groupBy(F.col("bad_attribute").alias("attribute")).agg(F.count_distinct("bad_code").alias("unknown_codes"))
-    out = schema.select("attribute")
-    for part in (empty, missing, unknown):
-        out = out.join(part, "attribute", "left")
+    out = schema.select("attribute").crossJoin(F.broadcast(told)).join(missing, "attribute", "left")  # one row of the size of the schema
+    own = F.element_at("met", F.col("attribute"))
+    out = out.select("attribute", (F.col("files") - F.coalesce(own["given"], F.lit(0))).alias("files_empty"), "rows_missing", own["bad"].alias("unknown_codes"))
     return out.fillna(0, ["files_empty", "rows_missing", "unknown_codes"])
 
 
