@@ -30,6 +30,21 @@ def bits(*keys: Column) -> Column:
     return h
 
 
+def extended(h: Column, key: int) -> Column:
+    """``bits`` of the keys whose bits are ``h`` and one fixed number more."""
+    return mix(h.bitwiseXOR(F.lit(_inner(key))))
+
+
+def normals(first: Column, keys: Sequence[int]) -> Column:
+    """An array: for each of the fixed keys, ``normal`` of the keys whose bits are ``first`` and that one.
+
+    What the draws have in common is mixed once, and the fixed keys are mixed beforehand.
+    """
+    inner = F.array(*[F.lit(_inner(k)) for k in keys])
+    each = F.flatten(F.transform(F.array(first), lambda f: F.transform(inner, lambda k: mix(f.bitwiseXOR(k)))))  # a lambda's argument is computed once
+    return F.transform(each, lambda h: _normal((extended(h, 0) + 0.5) / 2.0**32, (extended(h, 1) + 0.5) / 2.0**32))
+
+
 def uniform(*keys: Column) -> Column:
     """A number in (0, 1)."""
     return (bits(*keys) + 0.5) / 2.0**32
@@ -42,7 +57,11 @@ def below(n: Column, *keys: Column) -> Column:
 
 def normal(*keys: Column) -> Column:
     """A draw of the standard normal distribution."""
-    return F.sqrt(-2 * F.ln(uniform(*keys, F.lit(0)))) * F.cos(2 * math.pi * uniform(*keys, F.lit(1)))
+    return _normal(uniform(*keys, F.lit(0)), uniform(*keys, F.lit(1)))
+
+
+def _normal(u: Column, v: Column) -> Column:
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
 
 def mix_sql(x: str) -> str:
@@ -66,15 +85,19 @@ def normal_sql(*keys: str) -> str:
     return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
 
 
-def python_bits(keys: Sequence[int]) -> int:
-    """``bits`` of plain integers."""
+def _mixed(h: int) -> int:
+    for shift, by in _ROUNDS:
+        h = ((h ^ h >> shift) * by) & _MASK
+    return h
+
 
-    def mixed(h: int) -> int:
-        for shift, by in _ROUNDS:
-            h = ((h ^ h >> shift) * by) & _MASK
-        return h
+def _inner(key: int) -> int:
+    return _mixed((key ^ key >> 32) + _STEP & _MASK)
 
+
+def python_bits(keys: Sequence[int]) -> int:
+    """``bits`` of plain integers."""
     h = _START
     for k in keys:
-        h = mixed(h ^ mixed((k ^ k >> 32) + _STEP & _MASK))
+        h = _mixed(h ^ _inner(k))
     return h

@@ -47,11 +47,9 @@ def synthetic_logits(segments: DataFrame, segment: str, sequence: str, label: st
         raise ValueError(f"shared must lie between 0 and 1: {shared}")
     own_id, road = (F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 40))) for c in (segment, sequence))
 
-    def logit(k):
-        error = draws.normal(F.lit(seed), F.lit(1), own_id, k) * (1 - shared) ** 0.5 + draws.normal(F.lit(seed), F.lit(2), road, k) * shared**0.5
-        return error + F.when(F.col(label) == k, F.lit(strength)).otherwise(0.0)
-
-    return segments.withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), logit))
+    own, of_road = (draws.normals(draws.bits(F.lit(seed), F.lit(i), x), range(classes)) for i, x in ((1, own_id), (2, road)))
+    errors = F.zip_with(own, of_road, lambda a, b: a * (1 - shared) ** 0.5 + b * shared**0.5)
+    return segments.withColumn("logits", F.transform(errors, lambda e, k: e + F.when(F.col(label) == k, F.lit(strength)).otherwise(0.0)))
 
 
 def synthetic_predictions(segments: DataFrame, segment: str, sequence: str, label: str, classes: int, **options) -> DataFrame:
