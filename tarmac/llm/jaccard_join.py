@@ -193,11 +193,15 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return named.select("id", "tk", "n", F.coalesce("label", "node").alias("label"))
 
 
+def _unequal() -> Column:
+    """In how many parities sets a and b differ."""
+    return sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+
+
 def _may_link() -> Column:
     """Whether sets a and b of different components may link, by their sizes and parities."""
     n = F.col("n_a") + F.col("n_b")
-    unequal = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(WORDS)), F.lit(0))
-    return (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (7 * unequal <= n)
+    return (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (7 * _unequal() <= n)
 
 
 def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
@@ -207,8 +211,9 @@ def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
 def _centre_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """At most one pair (a, b) for each set: it and a centre of one of its signatures, of another component, that may link.
 
-    A signature's centre is found by partial aggregates, and so is a set's choice; both hang on the turn, as does the
-    share of signatures that is looked at. A turn only merges what it can, and leaves the rest to ``_open_pairs``.
+    Of these centres it is the one whose parities differ in the least share of both sizes. A signature's centre is found
+    by partial aggregates, and so is a set's choice; the centre hangs on the turn, as does the share of signatures that
+    is looked at. A turn only merges what it can, and leaves the rest to ``_open_pairs``.
     """
     rows = shared.where(F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(LOOKED_AT)) == 0).select("sig", "node").join(labels, "node")
     key = F.xxhash64("sig", F.lit(-turn))  # least of the names after an exclusive or: another set for each signature
@@ -218,22 +223,41 @@ def _centre_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, turn: i
     known = sets.select("node", "n", "bits").join(labels, "node")
     met = met.join(_side(known, "a"), F.col("node") == F.col("node_a")).select("centre", "node_a", "n_a", "label_a", "bits_a").join(_side(known, "b"), F.col("centre") == F.col("node_b"))
     seed = F.xxhash64(F.lit(turn))
-    return met.where(_may_link()).groupBy(F.col("node_a").alias("a")).agg(F.min(F.col("node_b").bitwiseXOR(seed)).alias("least")).select("a", F.col("least").bitwiseXOR(seed).alias("b"))
+    order = F.struct((_unequal() / (F.col("n_a") + F.col("n_b"))).alias("share"), F.col("node_b").bitwiseXOR(seed).alias("mixed"))
+    return met.where(_may_link()).groupBy(F.col("node_a").alias("a")).agg(F.min(order).alias("least")).select("a", F.col("least.mixed").bitwiseXOR(seed).alias("b"))
+
+
+def _groups(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group, size, node, label): groups of sets, so that open pairs that share a signature share a group.
+
+    Near copies share a hundred signatures with nearly the same sets each, and would meet as often. Signatures with
+    the same sets are one group. Those of one least set are one group of all their sets, unless that has more pairs
+    than they have apart. So no pair is lost, and pairs of a group never outnumber those of its signatures.
+    """
+    rows = shared.select("sig", "node").join(labels, "node")
+    ends = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")]
+    mixed = rows.groupBy("sig").agg(*ends, F.count(F.lit(1)).alias("own"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("lo < hi")
+    mixed = written(mixed.select("sig", "first", "own", F.xxhash64("first", "own", "nodes").alias("same")))
+    met = written(rows.join(mixed, "sig").select("first", "same", "node", "label").distinct())
+    apart = mixed.select("first", "same", "own").distinct()
+    pairs = apart.groupBy("first").agg(F.sum(F.col("own") * F.col("own")).alias("pairs"))
+    whole = met.select("first", "node").distinct().groupBy("first").agg(F.count(F.lit(1)).alias("all"))
+    whole = whole.join(pairs, "first").where(F.col("all") * F.col("all") <= F.col("pairs")).select(F.col("first").alias("group"), "all")
+    put = apart.join(whole, F.col("first") == F.col("group"), "left").select("same", F.coalesce("group", "same").alias("group"), F.coalesce("all", "own").alias("size"))
+    return written(met.join(put, "same").select("group", "size", "node", "label").distinct())
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs (a, b) that share a signature, are of two components and may link by their sizes and parities.
 
-    Within a signature, one side is split into blocks of about ``BLOCK`` sets, each of which meets the whole other side,
-    so a frequent signature is many tasks' work. Pairs that can't link are ruled out in the join and never written.
+    Within a group, one side is split into blocks of about ``BLOCK`` sets, each of which meets the whole other side,
+    so a large group is many tasks' work. Pairs that can't link are ruled out in the join and never written.
     """
-    rows = shared.select("sig", "node").join(labels, "node")
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    live = written(rows.join(mixed.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig"))
+    live = _groups(shared, labels).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     known = live.join(sets.select("node", "n", "bits"), "node")
-    mine = _side(known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "a", "sig", "block").alias("m")
-    others = _side(known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b", "sig", "block").alias("o")
-    met = others.join(mine, (F.col("o.sig") == F.col("m.sig")) & (F.col("o.block") == F.col("m.block")) & (F.col("node_a") < F.col("node_b")) & _may_link())
+    mine = _side(known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "a", "group", "block").alias("m")
+    others = _side(known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b", "group", "block").alias("o")
+    met = others.join(mine, (F.col("o.group") == F.col("m.group")) & (F.col("o.block") == F.col("m.block")) & (F.col("node_a") < F.col("node_b")) & _may_link())
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 

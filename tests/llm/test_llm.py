@@ -110,6 +110,36 @@ def test_components_of_a_large_group(spark):
     assert got == brute_components(rows)
 
 
+def rows_joined(df):
+    """Rows that the comparing join of a query made, as Spark counted them when the query ran."""
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name, count = plan.nodeName(), plan.metrics().get("numOutputRows")
+        if "Join" in name and count.isDefined() and "block" in plan.simpleString(200):
+            made.append(count.get().value())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        todo += [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else []
+    return sum(made)
+
+
+def test_open_pairs_meet_once(spark):
+    """Near copies that share many signatures, equal groups, a set with a hundred partners that share nothing else, and one component."""
+    rng = np.random.RandomState(5)
+    groups = [sorted(rng.permutation(30)[:27] + 1000) for _ in range(80)]
+    groups += [[2000, 2001, 2002]] * 200 + [[0, 3000 + 2 * i, 3001 + 2 * i] for i in range(50)] + [[4000, 4001]] * 5
+    label = lambda node: 4000 if node >= 4000 else 1000 if node in (1001, 1002) else node
+    nodes = sorted({int(node) for group in groups for node in group})
+    shared = spark.createDataFrame([(sig, int(node), 100) for sig, group in enumerate(groups) for node in group], "sig long, node long, n long")
+    sets = spark.createDataFrame([(node, 100, [0] * jaccard_join.WORDS) for node in nodes], "node long, n long, bits array<long>")
+    pairs = jaccard_join._open_pairs(shared, spark.createDataFrame([(node, label(node)) for node in nodes], "node long, label long"), sets)
+    got = [tuple(r) for r in pairs.collect()]
+    expected = {(a, b) for group in groups for a in group for b in group if a < b and label(a) != label(b)}
+    assert len(got) == len(set(got)) and expected == set(got)
+    assert len(got) <= rows_joined(pairs) < 5 * len(got)
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.RandomState(1)
     for _ in range(3000):
