@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows of one Arrow batch: about 2 MB of ordinary text, and still bounded if every text is long.
 BATCH_ROWS = 500
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def add_columns(
     df: DataFrame,
@@ -85,9 +87,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage and survives a lost executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    """``df`` written once to the shared folder and read back: cuts the lineage and survives a lost executor.
+
+    The write's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+    """
+    path, conf = shared_dir(df.sparkSession), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tarmac_path = path
     return table

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import _MULT, add_columns, add_rows, mix, utf8_of, words_of, written
+from tarmac.llm.common import _MULT, add_columns, add_rows, discard, mix, utf8_of, words_of, written
 
 #: Sentences and words that a run has at least: a run of very short sentences takes in more of them.
 RUN, MIN_WORDS = 3, 12
@@ -90,7 +90,11 @@ def _text_key(text):
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, tk, first sentence, sentence after) of every run that is not the first of its kind, in the order of ids and places."""
+    """(id, tk, places) of the texts that hold runs that are not the first of their kind, in the order of ids and places.
+
+    ``places`` are the runs' first sentences and the ones after them. They are written, so the shuffles of runs, which are
+    larger than the texts, are gone from disk before these are shuffled.
+    """
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", _text_key(F.col("text")))
     fields = [T.StructField("span", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("new", T.BooleanType())]
     runs = add_rows(keyed, "text", lambda texts: run_spans(*utf8_of(texts), run, min_words), fields, ["id", "tk"])
@@ -100,7 +104,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Written, so that both sides of the join are plain shuffles, whose large partitions Spark splits.
     firsts = written(firsts.select("span", F.when(~F.col("nulls"), F.col("first")).alias("first"), F.lit(True).alias("known")))
     later = F.col("known") & F.col("id").isNotNull() & (F.col("first").isNull() | (F.col("id") > F.col("first")))
-    return runs.join(firsts, "span", "left").where(~F.col("new") | later).select("id", "tk", "place", "stop")
+    found = runs.join(firsts, "span", "left").where(~F.col("new") | later)
+    places = written(found.groupBy("id", "tk").agg(F.collect_set(F.struct("place", "stop")).alias("places")))
+    discard(firsts)
+    return places
 
 
 def remove_repeats(
@@ -112,8 +119,7 @@ def remove_repeats(
     count as one document and don't remove each other's; so do rows with a null id, which come first. Texts without a repeat stay
     as they are, byte by byte; null stays null; a text all of whose sentences are repeats becomes empty.
     """
-    found = repeated_runs(docs, id_col, text_col, run, min_words)
-    by_doc = found.groupBy("id", "tk").agg(F.collect_set(F.struct("place", "stop")).alias("places"))
+    by_doc = repeated_runs(docs, id_col, text_col, run, min_words)
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", _text_key(F.col("text")))
     right = by_doc.select(F.col("id").alias("id2"), F.col("tk").alias("tk2"), "places")
     joined = left.join(right, (F.col("tk") == F.col("tk2")) & F.col("id").eqNullSafe(F.col("id2")), "left").select("kept", "text", "places")

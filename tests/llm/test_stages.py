@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from tarmac.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long, _id long, _tk string, _gone boolean, ids string, input_ids int, N_Tokens double, row struct<a:int>, label map<string,array<int>>, tk int, score string, `a.b` int"
@@ -58,6 +61,42 @@ def test_repeated_passages(spark, docs):
     assert "n_chars" not in bare.columns and bare.count() == kept.count()
 
 
+def on_disk(spark):
+    """Shuffle files that Spark holds, and scratch tables in the shared folder."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = {f for d in manager.localDirsString() for f in Path(str(d)).rglob("shuffle_*.data")}
+    return shuffles, set(Path(spark.conf.get("spark.checkpoint.dir")).glob("tarmac-*"))
+
+
+def gone(spark, held):
+    """Whether Spark holds no other shuffle files than before; it deletes them beside the query."""
+    for _ in range(50):
+        if not on_disk(spark)[0] - held:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for before in (None, "false", "true"):
+        if before:
+            spark.conf.set(key, before)
+        held, _ = on_disk(spark)
+        counts = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        assert gone(spark, held) and counts.count() == 7 and spark.conf.get(key, None) == before
+    spark.conf.unset(key)
+
+
+def test_repeated_passages_hold_no_shuffles_of_runs(spark, docs):
+    held, tables = on_disk(spark)
+    kept = p.repeated_passages(spark, docs, SF)
+    assert gone(spark, held) and len(on_disk(spark)[1] - tables) == 1
+    # What is left to do is one join of texts and places by document.
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1 and "collect_set" not in plan
+
+
 def test_benchmark_leaks(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
     leak = docs.limit(1).withColumn("text", F.lit("before " + item + " after"))
